@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, token_counts
+from . import exact_dedup, packing, token_counts, token_files
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op7_token_files": token_files.op7_token_files,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLES = {

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dup, packing, token_counts, token_files
+from . import exact_dedup, near_dup, packing, substring_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op5_token_counts": token_counts.op5_token_counts,
     "op7_token_files": token_files.op7_token_files,
     "op8_minhash_near_dup": near_dup.op8_minhash_near_dup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLES = {
+    "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }

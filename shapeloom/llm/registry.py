@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dup, packing, substring_dedup, token_counts, token_files
+from . import decontaminate, exact_dedup, languages, near_dup, packing, substring_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_language_id": languages.op2_language_id,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op5_token_counts": token_counts.op5_token_counts,
     "op7_token_files": token_files.op7_token_files,
     "op8_minhash_near_dup": near_dup.op8_minhash_near_dup,

@@ -286,6 +286,20 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return batches.documents(docs).mapInArrow(_predict(model), "doc_id long, score double")
 
 
+def _keep(model: ToxicityModel, limit: float):
+    def run(parts):
+        for b in batches.pieces_of(parts):
+            x = np.array([model.features(t or "") for t in b.column("text").to_pylist()]).reshape(-1, model.FEATURES)
+            yield b.filter(pa.array(model.score(x) < limit))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, limit: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, with a score below limit. The texts are not shuffled."""
+    return docs.mapInArrow(_keep(model, limit), docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 

@@ -28,11 +28,12 @@ from .shingles import Words, mix
 
 WINDOW = 20
 ANCHOR = 10
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 #: Cells of the count-min sketch for each entry, and its rows.
 CELLS = 8
 DEPTH = 2
 _SLICE_SEED = 0x5851F42D4C957F2D
+_BUCKET_SEED = 0x14057B7EF767814F
 
 
 def _anchors(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,18 +66,27 @@ def _by_row(rows: np.ndarray, values: np.ndarray):
             yield int(rows[a]), values[a:b]
 
 
-_ROW = pa.schema([("slice", pa.int32()), ("doc_id", pa.int64()), ("data", pa.binary())])
-_ROW_SQL = "slice int, doc_id long, data binary"
+#: A row for a slice of the hash range, or (negative, from -1 down) for a bucket of documents.
+_ROW = pa.schema([("part", pa.int32()), ("data", pa.binary())])
+_ROW_SQL = "part int, data binary"
 
 
-def _sliced(slices: int, keys: np.ndarray, *columns: np.ndarray):
-    """For each slice its keys and columns as one compressed row."""
+def _dealt(parts: int, of: np.ndarray, seed: int, *columns: np.ndarray):
+    """The columns' rows dealt over parts by the hash of `of`, a compressed row for each part."""
     press = zstandard.ZstdCompressor(level=1)
-    where = (mix(keys, _SLICE_SEED) % np.uint64(slices)).astype(np.int64)
+    where = (mix(of.astype(np.uint64), seed) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(where, kind="stable")
     for k, at in _by_row(where[order], order):
-        body = b"".join(np.ascontiguousarray(c[at]).tobytes() for c in (keys, *columns))
-        yield {"slice": k, "doc_id": None, "data": press.compress(len(at).to_bytes(8, "little") + body)}
+        body = b"".join(np.ascontiguousarray(c[at]).tobytes() for c in columns)
+        yield k, press.compress(len(at).to_bytes(8, "little") + body)
+
+
+def _to_slices(parts: int, keys: np.ndarray, *columns: np.ndarray) -> list[dict]:
+    return [{"part": k, "data": z} for k, z in _dealt(parts, keys, _SLICE_SEED, keys, *columns)]
+
+
+def _to_buckets(parts: int, docs: np.ndarray, values: np.ndarray) -> list[dict]:
+    return [{"part": -1 - k, "data": z} for k, z in _dealt(parts, docs, _BUCKET_SEED, docs, values)]
 
 
 def _opened(rows, kinds: list):
@@ -111,10 +121,10 @@ def _anchor_rows(slices: int, window: int, anchor: int) -> Callable:
             docs = b.column("doc_id").to_numpy()[row[place]]
             keys, back, count = np.unique(grams[place], return_inverse=True, return_counts=True)
             often = count[back] > 1
-            out = [{"slice": -1, "doc_id": d, "data": v.tobytes()} for d, v in _by_row(docs[often], grams[place[often]])]
+            out = _to_buckets(slices, docs[often], grams[place[often]])
             owner = np.zeros(len(keys), np.int64)
             owner[back] = docs
-            out += _sliced(slices, keys, owner, np.minimum(count, 2).astype(np.uint8))
+            out += _to_slices(slices, keys, owner, np.minimum(count, 2).astype(np.uint8))
             yield from _send(out)
 
     return run
@@ -140,60 +150,74 @@ class CountMin:
         return np.min([self.cells[k][self._cell(keys, k)] for k in range(len(self.cells))], axis=0)
 
 
-def _answers(docs: np.ndarray, values: np.ndarray) -> pa.Table:
-    order = np.argsort(docs, kind="stable")
-    rows = [{"slice": -1, "doc_id": d, "data": v.tobytes()} for d, v in _by_row(docs[order], values[order])]
-    return pa.Table.from_pylist(rows, _ROW)
+def _repeated_anchors(slices: int) -> Callable:
+    """Merge the partial sketches of a slice; give back the anchors that one batch alone has once, if they may repeat."""
 
+    def run(table: pa.Table) -> pa.Table:
+        keys, docs, counts = _opened(table.column("data").to_pylist(), [np.uint64, np.int64, np.uint8])
+        sketch = CountMin(1 << int(CELLS * len(keys)).bit_length())
+        sketch.add(keys, counts)
+        found = (counts == 1) & (sketch.estimate(keys) > 1)
+        return pa.Table.from_pylist(_to_buckets(slices, docs[found], keys[found]), _ROW)
+
+    return run
 
-def _repeated_anchors(table: pa.Table) -> pa.Table:
-    """Merge the partial sketches of a slice; give back the anchors that one batch alone has once, if they may repeat."""
-    keys, docs, counts = _opened(table.column("data").to_pylist(), [np.uint64, np.int64, np.uint8])
-    sketch = CountMin(1 << int(CELLS * len(keys)).bit_length())
-    sketch.add(keys, counts)
-    found = (counts == 1) & (sketch.estimate(keys) > 1)
-    return _answers(docs[found], keys[found])
+
+def _by_document(kind: type) -> Callable:
+    """All answers of a bucket, a row for each document."""
+
+    def run(table: pa.Table) -> pa.Table:
+        docs, values = _opened(table.column("data").to_pylist(), [np.int64, kind])
+        order = np.argsort(docs, kind="stable")
+        rows = [(d, v.tobytes()) for d, v in _by_row(docs[order], values[order])]
+        return pa.table({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "answers": pa.array([v for _, v in rows], pa.binary())})
+
+    return run
 
 
 def _window_rows(slices: int, window: int, anchor: int) -> Callable:
     def run(parts):
         press = zstandard.ZstdDecompressor()
-        for b in batches.pieces_of(parts, BATCH_BYTES // 2):
+        for b in batches.pieces_of(parts, BATCH_BYTES // 3):
             ids = b.column("doc_id").to_numpy()
             words = Words([press.decompress(z) for z in b.column("z").to_pylist()])
             grams, best, valid = _anchors(words, window, anchor)
             row, place = _owner(words)
             suspect = np.zeros(len(grams), bool)
-            for i, lists in enumerate(b.column("answers").to_pylist()):
+            for i, answer in enumerate(b.column("answers").to_pylist()):
                 a, z = words.first[i], words.first[i + 1]
-                suspect[a:z] = np.isin(grams[best[a:z]], np.frombuffer(b"".join(lists), np.uint64))
+                suspect[a:z] = np.isin(grams[best[a:z]], np.frombuffer(answer, np.uint64))
             at = np.flatnonzero(suspect & valid)
             if not len(at):
                 continue
             keys, _ = words.runs(window, seed=2)
-            keys, docs, starts, rows = keys[at], ids[row[at]], place[at].astype(np.uint32), row[at]
+            keys, docs, starts = keys[at], ids[row[at]], place[at].astype(np.uint32)
             order = np.lexsort((starts, docs, keys))
             first = np.concatenate([[True], np.diff(keys[order]) != 0])
             head = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
             same = (docs[order] == docs[order[head]]) & (starts[order] == starts[order[head]])
-            late = np.sort(order[~same])
-            out = [{"slice": -1, "doc_id": int(ids[i]), "data": v.tobytes()} for i, v in _by_row(rows[late], starts[late])]
+            late = order[~same]
+            out = _to_buckets(slices, docs[late], starts[late])
             one = order[first]
-            out += _sliced(slices, keys[one], docs[one], starts[one])
+            out += _to_slices(slices, keys[one], docs[one], starts[one])
             yield from _send(out)
 
     return run
 
 
-def _later_windows(table: pa.Table) -> pa.Table:
+def _later_windows(slices: int) -> Callable:
     """Of a slice's windows all places but the first one of each."""
-    keys, docs, starts = _opened(table.column("data").to_pylist(), [np.uint64, np.int64, np.uint32])
-    order = np.lexsort((starts, docs, keys))
-    first = np.concatenate([[True], np.diff(keys[order]) != 0])
-    head = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    same = (docs[order] == docs[order[head]]) & (starts[order] == starts[order[head]])
-    late = order[~same]
-    return _answers(docs[late], starts[late])
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, docs, starts = _opened(table.column("data").to_pylist(), [np.uint64, np.int64, np.uint32])
+        order = np.lexsort((starts, docs, keys))
+        first = np.concatenate([[True], np.diff(keys[order]) != 0])
+        head = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+        same = (docs[order] == docs[order[head]]) & (starts[order] == starts[order[head]])
+        late = order[~same]
+        return pa.Table.from_pylist(_to_buckets(slices, docs[late], starts[late]), _ROW)
+
+    return run
 
 
 def _compressed(parts):
@@ -208,12 +232,12 @@ def _kept_words(window: int, with_text: bool) -> Callable:
         press = zstandard.ZstdDecompressor()
         for b in batches.pieces_of(parts):
             out = []
-            for doc, z, lists in zip(*(b.column(c).to_pylist() for c in ("doc_id", "z", "answers")), strict=True):
+            for doc, z, answer in zip(*(b.column(c).to_pylist() for c in ("doc_id", "z", "answers")), strict=True):
                 words = press.decompress(z).split()
                 n = len(words)
-                if lists:
+                if answer:
                     edge = np.zeros(n + 1, np.int32)
-                    starts = np.frombuffer(b"".join(lists), np.uint32).astype(np.int64)
+                    starts = np.frombuffer(answer, np.uint32).astype(np.int64)
                     np.add.at(edge, starts[starts + window <= n], 1)
                     np.add.at(edge, starts[starts + window <= n] + window, -1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
@@ -235,17 +259,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     slices = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = batches.documents(docs)
 
-    def gathered(rows: DataFrame, answer: Callable, name: str) -> DataFrame:
-        """What a pass tells each document: found in its own batch, or by its slice."""
+    def gathered(rows: DataFrame, answer: Callable, kind: type, name: str) -> DataFrame:
+        """What a pass tells each document: found in its own batch, or by its slice. Both pass through the document's bucket."""
         sent = workspace.stash(rows, name)
-        own = sent.where("slice < 0")
-        told = sent.where("slice >= 0").groupBy("slice").applyInArrow(answer, _ROW_SQL)
-        return own.unionByName(told).groupBy("doc_id").agg(F.collect_list("data").alias("answers"))
+        told = sent.where("part >= 0").groupBy("part").applyInArrow(answer(slices), _ROW_SQL)
+        return sent.where("part < 0").unionByName(told).groupBy("part").applyInArrow(_by_document(kind), "doc_id long, answers binary")
 
-    anchors = gathered(source.mapInArrow(_anchor_rows(slices, window, anchor), _ROW_SQL), _repeated_anchors, "repeat-anchors")
+    anchors = gathered(source.mapInArrow(_anchor_rows(slices, window, anchor), _ROW_SQL), _repeated_anchors, np.uint64, "repeat-anchors")
     packed = source.mapInArrow(_compressed, "doc_id long, z binary")
     suspects = packed.join(anchors, "doc_id").select("doc_id", "z", "answers")
-    later = gathered(suspects.mapInArrow(_window_rows(slices, window, anchor), _ROW_SQL), _later_windows, "repeat-windows")
+    later = gathered(suspects.mapInArrow(_window_rows(slices, window, anchor), _ROW_SQL), _later_windows, np.uint32, "repeat-windows")
     marked = packed.join(later, "doc_id", "left").select("doc_id", "z", "answers")
     return marked.mapInArrow(_kept_words(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 

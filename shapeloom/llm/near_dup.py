@@ -5,9 +5,10 @@ and equal in two documents with about the probability of their Jaccard similarit
 are candidates. The likelihood of the counts of larger, smaller and equal registers, with the known set sizes, estimates the
 similarity; candidates that may reach the threshold are verified on the full sets.
 
-Equal sets are one class from the start. A bucket is not expanded into pairs: its members are held against its least one;
-what is not yet connected is held against further pivots, until each bucket is connected or all its pairs are decided.
-So a bucket of n copies costs n comparisons, and no link is lost.
+Equal sets are one class from the start. A bucket is not expanded into pairs: all members are first held against its least
+one, which connects most of them. In a bucket that is still in several parts, the members outside its largest part are held
+against the others by registers, inside one task or, for a large bucket, in blocks over many; only pairs that may be linked
+come out, each from one bucket alone, and are verified. So a bucket of n copies costs n comparisons, and no link is lost.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ REGISTERS = 128
 BAND = 4
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
 THRESHOLD = (75, 100)
-#: Candidates with an estimate this far below the threshold are dropped: over five standard errors of 128 registers.
-SLACK = 0.2
-#: Pivots of a bucket in each round after the first, and members held against one copy of a pivot's text.
-PIVOTS = 8
+#: Candidates with an estimate this far below the threshold are dropped: over four standard errors of 128 registers.
+SLACK = 0.16
+#: Members outside the largest part, and all members, of one block of a bucket in several parts.
+BLOCK = (256, 4096)
+#: Members held against one copy of a pivot's text.
 FAN_OUT = 256
 
 _RNG = np.random.Generator(np.random.PCG64(8))
@@ -90,15 +92,43 @@ def _sketch(parts):
         yield pa.record_batch([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest), pa.array(regs, pa.binary())], names=names)
 
 
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of each row."""
+    packed = np.ascontiguousarray(regs.reshape(len(regs), -1, BAND)).view(np.uint64).reshape(len(regs), -1)
+    keys = np.empty_like(packed)
+    for k in range(packed.shape[1]):
+        keys[:, k] = mix(packed[:, k], k * 0x9E3779B97F4A7C15 % 2**64)
+    return keys.view(np.int64)
+
+
+def _registers_of(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
 def _bands(parts):
     for b in parts:
-        regs = np.frombuffer(b"".join(b.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS // BAND, BAND)
-        packed = np.ascontiguousarray(regs).view(np.uint64).reshape(len(regs), -1)
-        keys = np.empty_like(packed)
-        for k in range(packed.shape[1]):
-            keys[:, k] = mix(packed[:, k], k * 0x9E3779B97F4A7C15 % 2**64)
-        ids = np.repeat(b.column("doc_id").to_numpy(), packed.shape[1])
-        yield pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "rep"])
+        keys = band_keys(_registers_of(b.column("registers")))
+        yield pa.record_batch([pa.array(keys.reshape(-1)), pa.array(np.repeat(b.column("doc_id").to_numpy(), keys.shape[1]))], names=["key", "rep"])
+
+
+def _block_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Pairs of a block that may be linked: one outside the bucket's largest part, the other in another part than it.
+
+    Two documents meet in every bucket that they share; the bucket of their first common band gives the pair.
+    """
+    rep, label, n, few = (table.column(c).to_numpy() for c in ("rep", "label", "n_shingles", "few"))
+    regs, side = _registers_of(table.column("registers")), table.column("side").to_numpy()
+    own, floor, out = band_keys(regs), THRESHOLD[0] / THRESHOLD[1] - SLACK, []
+    others = np.flatnonzero(side == 1)
+    for i in np.flatnonzero(side == 0):
+        facing = others[(label[others] != label[i]) & ~(few[others] & (rep[others] < rep[i]))]
+        if not len(facing):
+            continue
+        common = own[facing] == own[i]
+        facing = facing[own[i][common.argmax(axis=1)] == key[0].as_py()]
+        j = estimate(np.broadcast_to(regs[i], (len(facing), REGISTERS)), regs[facing], np.full(len(facing), float(n[i])), n[facing].astype(float))
+        out += [(int(min(rep[i], r)), int(max(rep[i], r))) for r in rep[facing[j >= floor]]]
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
 def _likely(parts):
@@ -106,7 +136,7 @@ def _likely(parts):
     for b in parts:
         if not b.num_rows:
             continue
-        one, other = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("a_regs", "b_regs"))
+        one, other = _registers_of(b.column("a_regs")), _registers_of(b.column("b_regs"))
         j = estimate(one, other, b.column("a_n").to_numpy().astype(float), b.column("b_n").to_numpy().astype(float))
         yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(j >= floor))
 
@@ -128,10 +158,15 @@ def _verify(parts):
         yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; the text of an a with many pairs is dealt in several copies."""
+def _likely_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose registers allow for a link."""
     side = lambda c: sketches.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"{c}_n"), F.col("registers").alias(f"{c}_regs"))
-    likely = workspace.stash(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_n", "b_n", "a_regs", "b_regs").mapInArrow(_likely, "a long, b long"), "near-likely")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_n", "b_n", "a_regs", "b_regs").mapInArrow(_likely, "a long, b long")
+
+
+def _confirmed(likely: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold; the text of an a with many pairs is dealt in several copies."""
+    likely = workspace.stash(likely, "near-likely")
     copies = likely.groupBy("a").agg(F.ceil(F.count("*") / FAN_OUT).alias("copies"))
     dealt = likely.join(copies, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("copies")))
     b_side = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
@@ -141,6 +176,23 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataF
     return both.select("a", "b", "a_text", "b_text").mapInArrow(_verify, "a long, b long")
 
 
+def _pairs_between_parts(members: DataFrame, labels: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Pairs (a, b) that may still link parts of a bucket; labels (id, component) are the parts so far."""
+    marked = members.where("rep <> pivot").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    marked = workspace.stash(marked.select("key", "rep", F.coalesce("component", "rep").alias("label")), "near-marked")
+    parts = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
+    shape = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("n_parts")).where("n_parts > 1")
+    blocks = lambda n, size: F.ceil(n / size)
+    shape = shape.select("key", "largest", blocks(F.col("n") - F.col("most"), BLOCK[0]).alias("rows"), blocks(F.col("n"), BLOCK[1]).alias("columns"))
+    open_ = marked.join(workspace.stash(shape, "near-open"), "key").join(chosen.withColumnRenamed("doc_id", "rep"), "rep").withColumn("few", F.col("label") != F.col("largest"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    keep = ["key", "rep", "label", "n_shingles", "registers", "few"]
+    row, column = F.pmod(F.xxhash64("rep"), F.col("rows")), F.pmod(F.xxhash64("rep"), F.col("columns"))
+    one = open_.where("few").select(*keep, F.lit(0).alias("side"), row.alias("r"), spread(F.col("columns")).alias("c"))
+    other = open_.select(*keep, F.lit(1).alias("side"), column.alias("c"), spread(F.col("rows")).alias("r"))
+    return one.unionByName(other).groupBy("key", "r", "c").applyInArrow(_block_pairs, "a long, b long")
+
+
 def group_near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text; other columns are ignored).
 
@@ -160,26 +212,11 @@ def group_near_copies(docs: DataFrame) -> DataFrame:
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = workspace.stash(source.join(needed.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
 
-    pairs = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    tried, links = workspace.stash(pairs, "near-tried"), None
-    left = members.where("rep <> pivot").select("key", "rep")
-    while True:
-        found = workspace.stash(_confirmed(tried if links is None else pairs, chosen, texts), "near-links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        marked = left.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
-        marked = workspace.stash(marked, "near-marked")
-        open_keys = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        marked = workspace.stash(marked.join(open_keys, "key"), "near-open")
-        if marked.isEmpty():
-            break
-        pivots = marked.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct("rep", "label")).alias("p"))
-        pivots = workspace.stash(pivots.select("key", F.col("p.rep").alias("pivot"), F.col("p.label").alias("pivot_label")), "near-pivots")
-        facing = marked.join(pivots, "key").where("rep <> pivot and label <> pivot_label")
-        pairs = facing.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
-        pairs = workspace.stash(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        tried = tried.unionByName(pairs)
-        left = marked.select("key", "rep").join(pivots.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti")
+    stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    labels = workspace.stash(components(_confirmed(_likely_pairs(stars, chosen), texts)), "near-labels")
+    # The stars so far stand for all links of theirs.
+    stars = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    labels = components(_confirmed(_pairs_between_parts(members, labels, chosen), texts).unionByName(stars))
 
     rep_of = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_digest", F.coalesce("component", "rep").alias("component_id"))
     linked = full.select("doc_id", "n_shingles", "set_digest").join(workspace.stash(rep_of, "near-components"), "set_digest").select("doc_id", "n_shingles", "component_id")

@@ -61,7 +61,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     # One document stands for each missing content. A repeated doc id may bring further rows, which dropDuplicates removes.
     chosen = texts.join(misses.hint("shuffle_hash"), ["doc_id", "content_sha256"], "left_semi").select("content_sha256", "text")
     counted = chosen.mapInArrow(_encode(tokenizer_path), "content_sha256 string, n_tokens long")
-    new = counted.select(F.lit(version).alias("tokenizer_sha256"), "content_sha256", "n_tokens")
+    new = counted.dropDuplicates(["content_sha256"]).select(F.lit(version).alias("tokenizer_sha256"), "content_sha256", "n_tokens")
     new.write.mode("append").parquet(cache_path)
 
     counts = read_cache(spark, cache_path).where(F.col("tokenizer_sha256") == version).select("content_sha256", "n_tokens").dropDuplicates(["content_sha256"])

@@ -146,7 +146,8 @@ class ToxicityModel:
         cache = self.cache
         kinds = [cache.get(w) for w in words]
         if None in kinds:
-            kinds = [self.kind(w) for w in words]
+            new = {w: self.kind(w) for w in {w for w, k in zip(words, kinds, strict=True) if k is None}}
+            kinds = [new[w] if k is None else k for w, k in zip(words, kinds, strict=True)]
         at = [i for i, k in enumerate(kinds) if k]
         if not at:
             return []

@@ -34,7 +34,9 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def graph_json(spark: SparkSession, path: str) -> Graphs:
     """One graph for each file; edges that repeat are one, missing edges are none."""
     files = _json(spark, path, GRAPH_JSON)
-    vertices = files.select("graph_id", F.explode("vertices").alias("p")).select("graph_id", F.col("p.id").alias("v"), "p.x", "p.y").distinct()
+    vertices = files.select("graph_id", F.explode("vertices").alias("p")).select("graph_id", F.col("p.id").alias("v"), "p.x", "p.y")
+    # Grouping keys lose the sign of -0.0; the first value keeps it.
+    vertices = vertices.groupBy("graph_id", "v", F.col("x").alias("kx"), F.col("y").alias("ky")).agg(F.first("x").alias("x"), F.first("y").alias("y")).drop("kx", "ky")
     pairs = files.select("graph_id", F.explode("edges").alias("e")).select("graph_id", F.col("e")[0].alias("a"), F.col("e")[1].alias("b"))
     return Graphs(vertices, normal_edges(pairs))
 

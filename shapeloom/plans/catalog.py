@@ -13,9 +13,9 @@ from ..functions import geometry as G
 from ..functions.kernels import hull_area
 from ..operators import forward, networks, reports, rules, signals
 from ..operators.graphs import Graphs
-from ..operators.mining import Settings, detect, frequency_cut, groups_of
+from ..operators.mining import Settings, alike, detect, frequency_cut, groups_of
 from ..operators.parsing import parse, reconstruct
-from ..sources import generators, readers
+from ..sources import generators, readers, writers
 from . import inputs
 
 QUERIES: dict = {}
@@ -451,3 +451,18 @@ def reconstruct_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = graphs.edges.select("u", "w").withColumn("one", F.lit(1)), again.edges.select("u", "w").withColumn("two", F.lit(1))
     both = old.join(new, ["u", "w"], "full")
     return both.agg(F.count(F.when(F.col("two").isNull(), 1)).cast("int").alias("missing"), F.count(F.when(F.col("one").isNull(), 1)).cast("int").alias("extra"))
+
+
+@query(f"WITH {_path()} SELECT g AS graph_id, u, w, CASE WHEN u // 4 % 5 = w // 4 % 5 THEN u // 4 % 5 ELSE -1 END AS colour FROM e")
+def coloured_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a drawing of trajectories with vertices coloured by fours needs."""
+    graphs = inputs.trajectories(spark, sf_dir)
+    drawn = writers.coloured_edges(graphs, graphs.vertices.select("graph_id", "v", (F.floor(F.col("v") / 4) % 5).alias("colour")))
+    return drawn.na.fill(-1, ["colour"])
+
+
+@query("SELECT 'lattice' AS a, 'large' AS b")
+def alike_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole graphs of one shape: a lattice and its enlarged copy, but not a wider one."""
+    other, wide = generators.lattice(spark, 2, 3, 2.5, "large"), generators.lattice(spark, 2, 4, 1.0, "wide")
+    return alike(generators.lattice(spark, 2, 3), Graphs(other.vertices.unionByName(wide.vertices), other.edges.unionByName(wide.edges)))

@@ -111,24 +111,35 @@ def _bands(parts):
         yield pa.record_batch([pa.array(keys.reshape(-1)), pa.array(np.repeat(b.column("doc_id").to_numpy(), keys.shape[1]))], names=["key", "rep"])
 
 
-def _block_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def _block_pairs(best: bool):
     """Pairs of a block that may be linked: one outside the bucket's largest part, the other in another part than it.
 
-    Two documents meet in every bucket that they share; the bucket of their first common band gives the pair.
+    Two documents meet in every bucket that they share; the bucket of their first common band gives the pair. With best,
+    each of the former gives only the pair with the most equal registers.
     """
-    rep, label, n, few = (table.column(c).to_numpy() for c in ("rep", "label", "n_shingles", "few"))
-    regs, side = _registers_of(table.column("registers")), table.column("side").to_numpy()
-    own, floor, out = band_keys(regs), THRESHOLD[0] / THRESHOLD[1] - SLACK, []
-    others = np.flatnonzero(side == 1)
-    for i in np.flatnonzero(side == 0):
-        facing = others[(label[others] != label[i]) & ~(few[others] & (rep[others] < rep[i]))]
-        if not len(facing):
-            continue
-        common = own[facing] == own[i]
-        facing = facing[own[i][common.argmax(axis=1)] == key[0].as_py()]
-        j = estimate(np.broadcast_to(regs[i], (len(facing), REGISTERS)), regs[facing], np.full(len(facing), float(n[i])), n[facing].astype(float))
-        out += [(int(min(rep[i], r)), int(max(rep[i], r))) for r in rep[facing[j >= floor]]]
-    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+    floor = THRESHOLD[0] / THRESHOLD[1] - SLACK
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rep, label, n, few = (table.column(c).to_numpy() for c in ("rep", "label", "n_shingles", "few"))
+        regs, side = _registers_of(table.column("registers")), table.column("side").to_numpy()
+        own, out = band_keys(regs), []
+        others = np.flatnonzero(side == 1)
+        for i in np.flatnonzero(side == 0):
+            facing = others[(label[others] != label[i]) & ~(few[others] & (rep[others] < rep[i]) & (not best))]
+            same = (regs[facing] == regs[i]).sum(axis=1)
+            near = same >= (floor - SLACK / 2) * REGISTERS  # far below, no likelihood reaches the floor
+            facing, same = facing[near], same[near]
+            if not len(facing):
+                continue
+            if best:
+                facing = facing[[same.argmax()]]
+            else:
+                facing = facing[own[i][(own[facing] == own[i]).argmax(axis=1)] == key[0].as_py()]
+            j = estimate(np.broadcast_to(regs[i], (len(facing), REGISTERS)), regs[facing], np.full(len(facing), float(n[i])), n[facing].astype(float))
+            out += [(int(min(rep[i], r)), int(max(rep[i], r))) for r in rep[facing[j >= floor]]]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
 
 
 def _likely(parts):
@@ -176,8 +187,8 @@ def _confirmed(likely: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "a_text", "b_text").mapInArrow(_verify, "a long, b long")
 
 
-def _pairs_between_parts(members: DataFrame, labels: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Pairs (a, b) that may still link parts of a bucket; labels (id, component) are the parts so far."""
+def _pairs_between_parts(members: DataFrame, labels: DataFrame, chosen: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b) that may still link parts of a bucket; labels (id, component) are the parts so far. See _block_pairs."""
     marked = members.where("rep <> pivot").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     marked = workspace.stash(marked.select("key", "rep", F.coalesce("component", "rep").alias("label")), "near-marked")
     parts = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
@@ -190,7 +201,7 @@ def _pairs_between_parts(members: DataFrame, labels: DataFrame, chosen: DataFram
     row, column = F.pmod(F.xxhash64("rep"), F.col("rows")), F.pmod(F.xxhash64("rep"), F.col("columns"))
     one = open_.where("few").select(*keep, F.lit(0).alias("side"), row.alias("r"), spread(F.col("columns")).alias("c"))
     other = open_.select(*keep, F.lit(1).alias("side"), column.alias("c"), spread(F.col("rows")).alias("r"))
-    return one.unionByName(other).groupBy("key", "r", "c").applyInArrow(_block_pairs, "a long, b long")
+    return one.unionByName(other).groupBy("key", "r", "c").applyInArrow(_block_pairs(best), "a long, b long").distinct()
 
 
 def group_near_copies(docs: DataFrame) -> DataFrame:
@@ -214,9 +225,11 @@ def group_near_copies(docs: DataFrame) -> DataFrame:
 
     stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     labels = workspace.stash(components(_confirmed(_likely_pairs(stars, chosen), texts)), "near-labels")
-    # The stars so far stand for all links of theirs.
-    stars = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    labels = components(_confirmed(_pairs_between_parts(members, labels, chosen), texts).unionByName(stars))
+    # Most parts are joined by a member's most similar partner; only what is left after that needs all likely pairs.
+    for best in (True, False):
+        stars = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))  # they stand for all links so far
+        found = _confirmed(_pairs_between_parts(members, labels, chosen, best), texts)
+        labels = workspace.stash(components(found.unionByName(stars)), "near-labels")
 
     rep_of = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_digest", F.coalesce("component", "rep").alias("component_id"))
     linked = full.select("doc_id", "n_shingles", "set_digest").join(workspace.stash(rep_of, "near-components"), "set_digest").select("doc_id", "n_shingles", "component_id")

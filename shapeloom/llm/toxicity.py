@@ -31,9 +31,15 @@ STEM_SIZES = (3, 4, 5, 6, 7, 8)
 CONTEXT = 6
 CACHE_ENTRIES = 400_000
 #: Only terms of this length have misspellings: shorter ones are one edit from too many words.
-LEAST_FUZZY = 5
+LEAST_FUZZY = 4
+#: Words one edit from a term of at most this length may be words of their own; those that training finds in clean documents are no hits.
+SHORT = 4
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’*@$!][^\W\d_]+)*")
+#: Words as they may be masked: with digits and with runs of marks. Those that are no hit as a whole are read as the words in them.
+_TOKEN = re.compile(r"[^\W_]+(?:['’*@$!]+[^\W_]+)*")
+_MASKED = re.compile(r"\d|['’*@$!]{2}")
+_SYMBOL = re.compile(r"[*@$!]{2,}|.", re.DOTALL)
 _QUOTES = '"“”„«»‘’'
 _QUOTED = re.compile(f"[{_QUOTES}]")
 
@@ -43,7 +49,8 @@ class FuzzyLexicon:
 
     A position is a trie node and the edits spent on the way to it; a state is the set of positions that a word's letters so
     far allow. States and their transitions are made when a word first needs them, so a word costs one look-up for each
-    letter, and most words reach the dead state after a few letters.
+    letter, and most words reach the dead state after a few letters. A run of marks is one edit and stands for at most as
+    many letters as it has marks.
     """
 
     DEAD = 0
@@ -89,15 +96,18 @@ class FuzzyLexicon:
             if letter in self.next[node]:
                 after.add((self.next[node][letter], e))
             if e < self.edits:
+                level = [node]
                 after.add((node, e + 1))
-                after.update((child, e + 1) for child in self.next[node].values())
+                for _ in letter:
+                    level = [child for n in level for child in self.next[n].values()]
+                    after.update((child, e + 1) for child in level)
         to = self.moves[state][letter] = self._state(after)
         return to
 
     def search(self, word: str) -> dict[str, int]:
         """Term -> number of edits, of all terms within reach of the word."""
         state, moves = self.start, self.moves
-        for c in word:
+        for c in ["*" * len(c) if len(c) > 1 else c for c in _SYMBOL.findall(word)] if _MASKED.search(word) else word:
             to = moves[state].get(c)
             state = self._move(state, c) if to is None else to
             if state == self.DEAD:
@@ -113,10 +123,12 @@ class ToxicityModel:
     """Lexicon, stems, context scores and the weights of the features."""
 
     FEATURES = 7
+    SPLIT = -1
 
     def __init__(self, terms: list[str], stems: list[str]):
         self.terms, self.stems = set(terms), set(stems)
         self.fuzzy = FuzzyLexicon(sorted(t for t in terms if len(t) >= LEAST_FUZZY))
+        self.own: set[str] = set()
         self.context: dict[str, float] = {}
         self.weights = np.zeros(self.FEATURES + 1)
         self.cache: dict[str, int] = {}
@@ -125,38 +137,52 @@ class ToxicityModel:
         return self.__dict__ | {"cache": {}}
 
     def kind(self, word: str) -> int:
-        """0: no hit, 1: a term, 2: a term with one edit, 3: a word with a stem."""
+        """0: no hit, 1: a term, 2: a term with one edit, 3: a word with a stem; SPLIT: a masked word of which only parts are hits."""
         got = self.cache.get(word)
         if got is None:
             if word in self.terms:
                 got = 1
+            elif _MASKED.search(word):
+                got = self.SPLIT if any(self.kind(w) for w in _WORD.findall(word)) else 2 if self.misspelt(word) else 0
             elif any(word[:n] in self.stems for n in STEM_SIZES if len(word) >= n):
                 got = 3
             else:
-                got = 2 if self.fuzzy.search(word) else 0
+                got = 2 if self.misspelt(word) else 0
             if len(self.cache) >= CACHE_ENTRIES:
                 self.cache.clear()
             self.cache[word] = got
         return got
 
+    def misspelt(self, word: str) -> bool:
+        found = self.fuzzy.search(word)
+        return bool(found) and (word not in self.own or any(len(t) > SHORT for t in found))
+
     def hits(self, text: str):
         """Kind, context words and whether quotation marks surround it, of every hit."""
         lower = text.lower()
-        words = _WORD.findall(lower)
+        tokens = _TOKEN.findall(lower)
         cache = self.cache
-        kinds = [cache.get(w) for w in words]
+        kinds = [cache.get(w) for w in tokens]
         if None in kinds:
-            new = {w: self.kind(w) for w in {w for w, k in zip(words, kinds, strict=True) if k is None}}
-            kinds = [new[w] if k is None else k for w, k in zip(words, kinds, strict=True)]
-        at = [i for i, k in enumerate(kinds) if k]
-        if not at:
+            new = {w: self.kind(w) for w in {w for w, k in zip(tokens, kinds, strict=True) if k is None}}
+            kinds = [new[w] if k is None else k for w, k in zip(tokens, kinds, strict=True)]
+        if not any(kinds):
             return []
-        places = [m.span() for m in _WORD.finditer(lower)]
+        words, places, found = [], [], []
+        for m, kind in zip(_TOKEN.finditer(lower), kinds, strict=True):
+            if kind in (1, 2) or not _MASKED.search(m.group()):
+                parts = [(m.group(), m.span(), kind)]
+            else:
+                parts = [(p.group(), p.span(), self.kind(p.group())) for p in _WORD.finditer(lower, *m.span())]
+            for word, place, k in parts:
+                words.append(word)
+                places.append(place)
+                found.append(k)
         out = []
-        for i in at:
+        for i in (i for i, k in enumerate(found) if k):
             a, z = max(0, i - CONTEXT), min(len(words), i + CONTEXT + 1)
             left, right = lower[places[a][0] : places[i][0]], lower[places[i][1] : places[z - 1][1] + 2]
-            out.append((kinds[i], words[a:i] + words[i + 1 : z], bool(_QUOTED.search(left) and _QUOTED.search(right))))
+            out.append((found[i], words[a:i] + words[i + 1 : z], bool(_QUOTED.search(left) and _QUOTED.search(right))))
         return out
 
     def features(self, text: str) -> np.ndarray:
@@ -255,6 +281,9 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> ToxicityModel:
                 stems.discard(s)
                 terms += [k for k in under.loc[under["n"] >= least, "key"] if k in set(good["key"])]
         model = ToxicityModel(sorted(set(terms)), sorted(stems))
+        short = tally.where((F.length("key") <= SHORT + 1) & (F.length("key") >= LEAST_FUZZY - 1) & ~F.col("key").endswith("-"))
+        clean = short.where((F.col("n") >= LEAST_DOCS) & (F.col("toxic") < 0.5 * F.col("n"))).select("key").toPandas()
+        model.own = {k for k in clean["key"] if model.fuzzy.search(k)}
         around = known.mapInArrow(_context_rows(model), "key string, n long, toxic long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
         around = around.where(F.col("n") >= LEAST_DOCS).toPandas()
         rows = known.mapInArrow(_feature_rows(model), "x array<double>, toxic int")

@@ -89,3 +89,15 @@ def test_digest_cache_is_used_again(spark, messy):
     stored = token_counts.read_cache(spark, cache).count()
     again = token_counts.count_tokens(messy, BYTES, cache).collect()
     assert sorted(first) == sorted(again) and token_counts.read_cache(spark, cache).count() == stored == 10
+
+
+def test_toxic_terms_behind_digits_marks_and_short_misspellings(spark):
+    terms, plain = ["idiot", "stupid", "scum"], [f"w{chr(97 + i)}{chr(97 + i * 7 % 26)}word" for i in range(26)]
+    text = lambda i, more: " ".join([plain[(i * 5 + j * 3) % 26] for j in range(9)] + more + [plain[(i * 11 + j) % 26] for j in range(9)])
+    rows = [(i, text(i, [terms[i % 3]] if i % 4 == 0 else ["slum"] if i % 4 == 1 else ["1000", "a1b2"]), int(i % 4 == 0)) for i in range(600)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert model.terms == set(terms)
+    bad = ["id1ot", "st**id", "skum", "scum", "stupid!!!you", "idiot2"]
+    docs = spark.createDataFrame([(i, text(i, [w])) for i, w in enumerate([*bad, "slum", "2*3**4", "i**t"])], "doc_id long, text string")
+    got = [r["score"] for r in sorted(toxicity.score(docs, model).collect())]
+    assert min(got[: len(bad)]) > 0.5 > max(got[len(bad) :]), got

@@ -65,8 +65,58 @@ FAMILIES = (
     ("public-domain", "(?:in|into) the public domain", "public domain", ""),
     ("proprietary", "all rights reserved", "all rights reserved", ""),
 )
+#: SPDX identifiers without their versions: label, the identifier in normalised words, its versions.
+SPDX = (
+    *[(n, n, v) for n, v in (("gpl", "1 0|2 0|3 0"), ("lgpl", "2 0|2 1|3 0"), ("agpl", "1 0|3 0"), ("gfdl", "1 1|1 2|1 3"), ("apache", "1 0|1 1|2 0"), ("mpl", "1 0|1 1|2 0"))],
+    *[(n, n, v) for n, v in (("epl", "1 0|2 0"), ("eupl", "1 0|1 1|1 2"), ("cddl", "1 0|1 1"), ("cpl", "1 0"), ("artistic", "1 0|2 0"), ("bsl", "1 0"), ("osl", "1 0|2 0|2 1|3 0"))],
+    *[(n, n, v) for n, v in (("afl", "1 1|1 2|2 0|2 1|3 0"), ("ofl", "1 0|1 1"), ("odbl", "1 0"), ("psf", "2 0"), ("php", "3 0|3 01"), ("cc0", "1 0"))],
+    *[(n, n.replace("-", " "), "1 0|2 0|2 5|3 0|4 0") for n in ("cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd")],
+    *[(n, n.replace("-", " "), "") for n in ("mit", "mit-0", "isc", "zlib", "x11", "0bsd", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "unlicense", "wtfpl", "ms-pl", "ms-rl")],
+)
+#: Names that mean a license only after "licensed under" and the like: label, regex, keywords.
+SHORT = (
+    ("mit", "(?:mit|expat)", " mit | expat "),
+    ("x11", "x11", " x11 "),
+    ("isc", "isc", " isc "),
+    ("zlib", "zlib", " zlib "),
+    ("bsd", "bsd", " bsd "),
+    ("apache", "apache", " apache "),
+    ("apache-2.0", "apache (?:v ?|version )?2(?: 0)?", " apache "),
+    ("artistic-2.0", "artistic (?:v ?|version )?2(?: 0)?", " artistic "),
+    ("ofl-1.1", "(?:sil )?ofl(?: (?:v ?|version )?1 1)?", " ofl "),
+    ("bsl-1.0", "(?:boost|bsl)(?: (?:v ?|version )?1 0)?", " boost | bsl "),
+    ("odbl-1.0", "odbl(?: (?:v ?|version )?1 0)?", " odbl "),
+    ("php", "php", " php "),
+    ("psf", "psf", " psf "),
+    ("ms-pl", "ms pl", " ms pl "),
+    ("ms-rl", "ms rl", " ms rl "),
+)
+_UNDER = "(?:licen[sc]ed|(?:re)?distributed|released|available|provided) under (?:the )?(?:terms of )?(?:the )?"
+#: Sentences of the licenses themselves: label, regex, a part of every match that is keyword and gate.
+BODIES = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free of charge"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy", "hereby granted free of charge"),
+    ("isc", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
+    ("bsd", "redistribution and use in source and binary forms(?: of [^ ]+)? with or without modification are permitted", "redistribution and use in source and binary forms"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions", "must reproduce the above copyright notice"),
+    ("bsd-3-clause", "neither the names? of (?:[^ ]+ ){1,12}nor the names of (?:its|any|the|other|their)(?: [^ ]+){0,3}? ?contributors may be used to endorse or promote products", "be used to endorse or promote products"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledge?ments?", "advertising materials mentioning features"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy", "except in compliance with the license"),
+    ("apache-2.0", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license", "each contributor hereby grants to you"),
+    ("gpl", "(?:this program|[^ ]+) is free software you can redistribute it and or modify it under the terms of the gnu general public license", "free software you can redistribute it"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license", "distributed in the hope that it will be useful"),
+    ("gpl", "the licenses for most software(?: and other practical works)? are designed to take away your freedom to share and change (?:it|the works) by contrast the gnu general public license is intended", "designed to take away your freedom"),
+    ("lgpl", "this library is free software you can redistribute it and or modify", "free software you can redistribute it"),
+    ("lgpl", "this library is distributed in the hope that it will be useful but without any warranty", "distributed in the hope that it will be useful"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license", "this source code form is subject to"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "without any express or implied warranty in no event"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain", "associated a work with this deed"),
+)
 #: Signs whose absence ends the work on a text: every rule's match has one of them.
-GATES = ("licen", "spdx", "public domain", "all rights reserved", "cc by", "cc0", "creative commons", "wtfpl", "bsd", "gpl", "gfdl", "mpl", "epl", "eupl", "cddl")
+GATES = ("licen", "spdx", "public domain", "all rights reserved", "cc by", "cc0", "creative commons", "wtfpl", "bsd", "gpl", "gfdl", "mpl", "epl", "eupl", "cddl") + (
+    "distributed under", "released under", "available under", "provided under", *sorted({part for _, _, part in BODIES})
+)
 #: A plain search for the rarest word of each gate comes first: it is far cheaper than the gates' own regex.
 GATE_WORDS = sorted({max(g.split(), key=len) for g in GATES})
 #: Templates of a family's rules: a keyword besides the family's own, regex around the name N, priority.
@@ -83,7 +133,11 @@ LEVELS = 4
 
 
 def rules() -> list[dict]:
-    """Label, keywords (one must be there, and `also`), regex and priority of every rule, in order: each family with each template, then each of its versions."""
+    """Label, keywords (one must be there, and `also`), regex and priority of every rule, in order.
+
+    Each family with each template, then each of its versions; SPDX identifiers, as the first to fourth of an expression and
+    weaker by place, so that none hides another; short names; sentences of the licenses.
+    """
     made = []
 
     def add(label: str, keywords: str, also: str, regex: str, priority: int) -> None:
@@ -95,6 +149,17 @@ def rules() -> list[dict]:
         for v in filter(None, versions.split("|")):
             for keyword, around, priority in VERSIONED:
                 add(f"{label}-{v.replace(' ', '.')}", own, keyword, around.replace("N", name).replace("V", v), priority)
+    operand = "(?:(?!(?:or|and) (?!later ))[^ ]+ ){1,8}(?:or|and) (?!later )"
+    for label, name, versions in SPDX:
+        for v in versions.split("|"):
+            own = f"{name} {v}".strip()
+            for place in range(LEVELS):
+                regex = f"spdx licen[sc]e identifier {operand * place}{own}(?: only| or later)?"
+                add(f"{label}-{v.replace(' ', '.')}" if v else label, f" {own} ", "spdx licen", regex, LEVELS - place)
+    for label, regex, keywords in SHORT:
+        add(label, keywords, " under ", _UNDER + regex, 3)
+    for label, regex, part in BODIES:
+        add(label, part, "", regex, 3)
     return made
 
 

@@ -155,3 +155,32 @@ def test_automaton_finds_all_terms_within_one_edit():
             word[at : at + rng.randint(0, 1)] = rng.choices("idmort", k=rng.randint(0, 1))
         word = "".join(word)
         assert fuzzy.search(word) == {t: d for t in terms if (d := distance(word, t)) <= 1}
+
+
+def test_license_identifiers_short_names_and_bodies(spark):
+    cases = {
+        "SPDX-License-Identifier: MIT": "mit",
+        "# SPDX-License-Identifier: Apache-2.0": "apache-2.0",
+        "SPDX-License-Identifier: ISC": "isc",
+        "SPDX-License-Identifier: Zlib": "zlib",
+        "SPDX-License-Identifier: Artistic-2.0": "artistic-2.0",
+        "SPDX-License-Identifier: OFL-1.1": "ofl-1.1",
+        "SPDX-License-Identifier: BSL-1.0": "bsl-1.0",
+        "SPDX-License-Identifier: MIT-0": "mit-0",
+        "SPDX-License-Identifier: (MIT OR Apache-2.0 OR ISC)": "apache-2.0,isc,mit",
+        "Licensed under Apache 2.0": "apache-2.0",
+        "This is licensed under the MIT": "mit",
+        "distributed under the terms of the ISC": "isc",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided": "bsd",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "bsd-3-clause",
+        "you may not use this file except in compliance with the License. You may obtain a copy of": "apache",
+        "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended": "gpl",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY": "lgpl",
+        "We sat under the tree with the mit of it": "",
+        "Redistribution of seats is free of charge": "",
+    }
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(docs).collect()}
+    assert {t: got[i] for i, t in enumerate(cases)} == cases

@@ -87,7 +87,7 @@ r AS (SELECT a.g, b.i - a.i AS lag, sum(a.d * b.d) AS r FROM d a JOIN d b ON a.g
 f AS (SELECT g, min(lag) AS tau FROM r WHERE r <= 0 GROUP BY 1)
 SELECT DISTINCT s.g AS series_id, CAST(coalesce(tau, 5) AS INTEGER) AS tau FROM s LEFT JOIN f USING (g)""")
 def autocorr_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.estimate_tau(inputs.series(spark, sf_dir), 20)
+    return signals.estimate_tau(inputs.series(spark, sf_dir))
 
 
 @query()
@@ -97,7 +97,7 @@ def bandpass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def signal_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.signal_graph(inputs.series(spark, sf_dir), 160.0, count=40, band=(0.0, 60.0))[0].edges
+    return signals.signal_graph(inputs.series(spark, sf_dir), 160.0, count=None, band=(0.0, 60.0))[0].edges
 
 
 # ---- graph model

@@ -35,3 +35,22 @@ def test_entry_is_registered(spark):
 
     assert __spark_entry__.entry(spark).columns == ["key", "frequency", "gain"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_signal_graph_has_every_point(spark):
+    """Each series of n values with its own delay tau gives a path of n - tau vertices, however long it is."""
+    from shapeloom.operators import signals
+    from shapeloom.plans import inputs
+
+    series = signals.bandpass(inputs.series(spark, SF), 160.0, 0.0, 60.0)
+    sizes = series.groupBy("series_id").count().join(signals.estimate_tau(series), "series_id").collect()
+    want = {r["series_id"]: n for r in sizes if (n := r["count"] - r["tau"] - 1) > 0}
+    got = {r["graph_id"]: r["count"] for r in catalog.QUERIES["signal_graph"](spark, SF).groupBy("graph_id").count().collect()}
+    assert got == want and max(got.values()) >= 40
+
+
+def test_tau_of_a_slow_series(spark, tmp_path):
+    """The first lag that isn't positive may be 20 or more."""
+    rows = spark.range(160).selectExpr("id AS event_id", "1 AS user_id", "id AS ts", "CAST(cos(id * pi() / 80) AS DOUBLE) AS value")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    assert catalog.QUERIES["autocorr_tau"](spark, str(tmp_path)).first()["tau"] > 20

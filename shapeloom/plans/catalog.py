@@ -403,7 +403,7 @@ def synthetic_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shapes() -> Settings:
-    return Settings(quant=LOOSE, max_order=3)
+    return Settings(quant=LOOSE)
 
 
 @query()
@@ -428,7 +428,7 @@ def best_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def learn_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.learn(inputs.embedding_paths(spark, sf_dir), _shapes(), max_levels=2).rules.select("graph_id", "rule_id", "level", "frequency", F.size("rhs_vertices").alias("ord"))
+    return rules.learn(inputs.embedding_paths(spark, sf_dir), _shapes()).rules.select("graph_id", "rule_id", "level", "frequency", F.size("rhs_vertices").alias("ord"))
 
 
 @query()

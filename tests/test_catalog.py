@@ -54,3 +54,9 @@ def test_tau_of_a_slow_series(spark, tmp_path):
     rows = spark.range(160).selectExpr("id AS event_id", "1 AS user_id", "id AS ts", "CAST(cos(id * pi() / 80) AS DOUBLE) AS value")
     rows.write.parquet(f"{tmp_path}/events.parquet")
     assert catalog.QUERIES["autocorr_tau"](spark, str(tmp_path)).first()["tau"] > 20
+
+
+def test_mining_grows_beyond_order_three(spark):
+    groups = catalog.QUERIES["detect_groups"](spark, SF).agg({"ord": "max"}).first()[0]
+    histogram = catalog.QUERIES["order_histogram"](spark, SF).agg({"ord": "max"}).first()[0]
+    assert groups == 5 and histogram == 4

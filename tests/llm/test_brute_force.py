@@ -68,26 +68,84 @@ def test_planes_round_trip(by):
         assert (token_files.decode_chunk(token_files.encode_chunk(ids, 1024, by), n, 1024) == ids).all()
 
 
-def test_near_copies(small):
+def plain_near_copies(rows):
+    """(doc_id, text) -> (n_shingles, component_id), by holding all texts against each other."""
     sets = {}
-    for r in small.select("doc_id", "text").collect():
-        words = (r["text"] or "").encode().lower().split()
-        sets[r["doc_id"]] = {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
-    up = {i: i for i in sets}
-
-    def root(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for i in sets:
-        for j in sets:
-            both = len(sets[i] & sets[j])
-            if i < j and both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
-                a, b = sorted((root(i), root(j)))
-                up[b] = a
+    for doc, text in rows:
+        words = (text or "").encode().lower().split()
+        sets[doc, text] = {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+    up = {x: x for x in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    keys = list(sets)
+    for k, x in enumerate(keys):
+        for y in keys[:k]:
+            both = len(sets[x] & sets[y])
+            if both and 100 * both >= 75 * (len(sets[x]) + len(sets[y]) - both):
+                up[root(x)] = root(y)
+    least = {}
+    for doc, text in keys:
+        r = root((doc, text))
+        least[r] = min(least.get(r, doc), doc)
+    return {x: (len(s), least[root(x)]) for x, s in sets.items()}
+
+
+def near_copies_of(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    return sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dup.group_near_copies(docs).collect())
+
+
+def test_near_copies(small):
+    rows = [(r["doc_id"], r["text"]) for r in small.select("doc_id", "text").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.group_near_copies(small).collect()}
-    assert got == {i: (len(s), root(i)) for i, s in sets.items()}
+    assert got == {doc: x for (doc, _), x in plain_near_copies(rows).items()}
+
+
+def test_near_copies_of_a_hot_group(spark):
+    """Many versions of one text, some too far from all others, and chains that hang together by one link only."""
+    rng, words = random.Random(5), [f"w{i}" for i in range(400)]
+    base, rows = rng.choices(words, k=120), []
+    for i in range(260):
+        text = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 5, 6])):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        rows.append((i, " ".join(text)))
+    for i in range(260, 300):  # each takes over five words more
+        text = base[:]
+        text[: 3 * (i - 260)] = [f"c{k}" for k in range(3 * (i - 260))]
+        rows.append((i, " ".join(text)))
+    rng.shuffle(rows)
+    want = plain_near_copies(rows)
+    assert len({c for _, c in want.values()}) > 10
+    assert near_copies_of(spark, rows) == sorted((doc, *x) for (doc, _), x in want.items())
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    """A row has the component of its own text, whatever other texts its id has."""
+    text = [" ".join(f"{c}{k}" for k in range(60)) for c in "abc"]
+    rows = [(1, text[0]), (1, text[1]), (3, text[1] + " tail"), (2, text[0] + " tail"), (7, text[2]), (7, text[2]), (None, text[2])]
+    got = near_dup.group_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r["doc_id"], r["component_id"], r["kept"]) for r in got) == {(1, 1, True): 2, (3, 1, False): 1, (2, 1, False): 1, (7, 7, True): 2, (None, 7, False): 1}
+    docs = spark.createDataFrame([(*r, "x", i) for i, r in enumerate(rows)], "doc_id long, text string, row_key string, node int")
+    assert sorted((r["doc_id"], r["text"]) for r in near_dup.keep_one(docs).collect()) == [(1, text[0]), (1, text[1]), (7, text[2])]
+
+
+def test_floor_is_that_of_the_estimate():
+    rng = np.random.default_rng(1)
+    one, n = [], []
+    pool = rng.integers(0, 2**63, 900, dtype=np.uint64)
+    for k in range(60):
+        one.append(near_dup.registers(pool[k * 8 : k * 8 + 300]))
+        n.append(300.0)
+    one, n = np.array(one), np.array(n)
+    a, b = np.triu_indices(60, 1)
+    j = near_dup.estimate(one[a], one[b], n[a], n[b])
+    clear = abs(j - near_dup.FLOOR) > 1e-4
+    assert (near_dup.reaches(one[a], one[b], n[a], n[b])[clear] == (j >= near_dup.FLOOR)[clear]).all() and 100 < (j >= near_dup.FLOOR).sum() < 1600
 
 
 def test_registers_merge_and_estimate():

@@ -30,3 +30,16 @@ def pieces_of(batches: Iterable[pa.RecordBatch], max_bytes: int = 4 << 20) -> It
 
 def sha256_hex(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Tells rows apart that differ in id or text; a null id and a null text (taken as empty) are values like others."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")), sha256_hex(F.coalesce(text, F.lit(""))))
+
+
+def only_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose row_key is in keys (one column); one of the rows that repeat id and text."""
+    name = "row_key" if "row_key" not in docs.columns else "row_key_" + "_".join(docs.columns)
+    keyed = docs.withColumn(name, row_key(F.col("doc_id"), F.col("text")))
+    rows = keyed.join(keys.toDF(name).hint("shuffle_hash"), name, "left_semi")
+    return rows.dropDuplicates([name]).select(docs.columns)

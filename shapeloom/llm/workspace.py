@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one of our own only where none is set, as in tests."""
+    """The cluster's shared folder. Where none is set, a folder of our own on one machine, and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = Path(tempfile.mkdtemp(prefix="shapeloom-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -72,6 +72,27 @@ def test_exact_with_hot_digest(spark):
     assert len(rows) == 1000 and {(r["keep_id"], r["group_size"]) for r in rows} == {(2997, 1000)}
 
 
+def test_exact_with_rows_that_repeat_in_a_hot_digest(spark, monkeypatch):
+    """One row for each row, whatever the partitions, salts and chunks are, and whether the digests tell texts apart."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup, "CHUNK_IDS", 7)
+    rows = [(None if i % 50 == 0 else i % 9 if i % 2 else i, ["hot", "warm", f"t{i % 400}", None][i % 4 if i % 3 else 0]) for i in range(1800)]
+    docs = spark.createDataFrame([(*r, "a", i) for i, r in enumerate(rows)], "doc_id long, text string, row_key string, n int").repartition(12)
+    groups = {}
+    for doc, text in rows:
+        groups.setdefault(text or "", []).append(doc)
+    keep = {t: max((d for d in ids if d is not None), default=None) for t, ids in groups.items()}
+    want = Counter((doc, keep[text or ""], len(groups[text or ""]), doc == keep[text or ""]) for doc, text in rows)
+    for digest in (None, F.lit("same"), F.length("text").cast("string")):
+        got = exact_dedup.find_copies(docs, digest).collect()
+        assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == want
+        left = exact_dedup.keep_one(docs, digest).collect()
+        assert Counter((r["doc_id"], r["text"] or "") for r in left) == Counter((k, t) for t, k in keep.items())
+
+
 def test_messy_near(messy):
     rows = {r["doc_id"]: r for r in ALL["near"](messy).collect()}
     assert [rows[i]["component_id"] for i in (0, 1, 2)] == [0, 1, 2] and rows[0]["n_shingles"] == 0
@@ -83,6 +104,15 @@ def test_messy_leaks(messy):
     assert not {r["doc_id"] for r in rows} & {0, 1, 2, 8} and {r["item_id"] for r in rows} <= {1}
 
 
+def test_null_ids_and_clashing_columns(spark):
+    """Null ids are rows like others wherever ids only pass through; every operator takes them."""
+    rows = [(None, "idiot words and some more words", 0), (None, None, 1), (5, "idiot words and some more words", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, salt int").selectExpr("*", "'en' AS lang", "salt AS n", "'x' AS digest", "1L AS node")
+    for name, f in ALL.items():
+        ids = [r["doc_id"] for r in f(docs).collect()]
+        assert name == "leaks" or sorted(ids, key=str) in ([5, None, None], [5, None], [None, None, 5]), (name, ids)
+
+
 def test_digest_cache_is_used_again(spark, messy):
     cache = workspace.fresh_path(spark, "test-cache")
     first = token_counts.count_tokens(messy, BYTES, cache).collect()

@@ -1,16 +1,19 @@
 """Language identification with bit-sliced Bloom filters of n-grams.
 
 One table serves all languages: a cell is a bit mask with a bit for each language, and the conjunction of a gram's cells
-names every language that contains the gram. The bits of all grams of a text are counted for each language; what the filter
-answers by accident, which follows from each language's share of set bits, is taken off, and the largest count decides.
+names every language that contains the gram, however rarely. A second set of masks names those that have it often. The bits
+of all grams of a text are counted for each language; what the filter answers by accident, which follows from each language's
+share of set bits, is taken off, and the largest sum of both counts decides.
 
-Training grams come from about TRAIN_DOCS labelled documents (all, if there are fewer), chosen by a hash of the id; whole
-texts are used, in training and in prediction.
+Training grams come from about TRAIN_DOCS labelled documents (all, if there are fewer), chosen by a hash of the id, with equal
+parts for all languages, so that a rare one is not lost; whole texts are used, in training and in prediction.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +27,12 @@ GRAM = 4
 CELL_BITS = 20
 PROBES = 3
 TRAIN_DOCS = 20_000
-#: A language contains a gram if it has it at least this many times, and at this share of the rate of the language that has it most.
-LEAST_COUNT = 5
+#: A language has a gram often if at this share of the rate of the language that has it most.
 LEAST_SHARE = 0.34
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: Numbers such as one half are no letters, but Python's word characters.
+_LETTER_OR_NUMBER = re.compile(r"[^\W\d_]")
 #: Bytes of lower-cased UTF-8 that make up grams; every other one is a word border.
 _KEPT = np.full(256, 32, np.uint8)
 _KEPT[97:123] = np.arange(97, 123)
@@ -52,6 +55,11 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return grams[inside], row[:n][inside]
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of text is a letter (Unicode category L)."""
+    return any(unicodedata.category(m.group())[0] == "L" for m in _LETTER_OR_NUMBER.finditer(text))
+
+
 class LanguageFilter:
     """Masks of languages in a table of 2**CELL_BITS cells, in as many 64-bit words as the languages need."""
 
@@ -99,28 +107,48 @@ def _gram_counts(parts):
             yield pa.record_batch([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
 
-def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageFilter:
-    """A filter from labelled documents (doc_id, text, lang); rows with a null lang or text teach nothing.
+@dataclass
+class Model:
+    """Which languages contain a gram, and which have it often."""
+
+    contains: LanguageFilter
+    often: LanguageFilter
+
+    @property
+    def languages(self) -> list[str]:
+        return self.contains.languages
+
+    def counts(self, grams: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        return self.contains.counts(grams, row, rows) + self.often.counts(grams, row, rows)
+
+
+def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
+    """A model from labelled documents (doc_id, text, lang); rows with a null lang or text teach nothing.
 
-    The driver gets the counts of grams from about train_docs documents, picked by a hash of their ids, not more.
+    The driver gets the counts of grams from about train_docs documents, picked by a hash of their ids, not more, and a row
+    for each language.
     """
     known = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    share = min(1.0, train_docs / max(1, known.select("doc_id").count()))
-    sample = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    counted = sample.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counted = counted.where(F.col("n") >= LEAST_COUNT).toPandas()
-    languages = sorted(counted["lang"].unique())
-    model = LanguageFilter(languages)
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(sizes)
+    models = Model(LanguageFilter(languages), LanguageFilter(languages))
     if languages:
+        limit = {x: int(min(1.0, train_docs / len(sizes) / n) * (1 << 30)) for x, n in sizes.items()}
+        limits = F.create_map(*[F.lit(v) for pair in sorted(limit.items()) for v in pair])
+        sample = known.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), F.lit(1 << 30)) < limits[F.col("lang")])
+        counted = sample.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
         rate = counted["n"] / counted.groupby("lang")["n"].transform("sum")
         most = rate.groupby(counted["gram"]).transform("max")
         for i, lang in enumerate(languages):
-            chosen = (counted["lang"] == lang) & (rate >= LEAST_SHARE * most)
-            model.add(i, counted.loc[chosen, "gram"].to_numpy().astype(np.uint32))
-    return model.seal()
+            own = counted["lang"] == lang
+            models.contains.add(i, counted.loc[own, "gram"].to_numpy().astype(np.uint32))
+            models.often.add(i, counted.loc[own & (rate >= LEAST_SHARE * most), "gram"].to_numpy().astype(np.uint32))
+    models.contains.seal()
+    models.often.seal()
+    return models
 
 
-def _predict(model: LanguageFilter):
+def _predict(model: Model):
     names = np.array([*model.languages, UNDETERMINED], dtype=object)
 
     def run(parts):
@@ -130,7 +158,7 @@ def _predict(model: LanguageFilter):
             score = model.counts(grams, row, len(texts)) if model.languages else np.zeros((len(texts), 0))
             total, best = score.sum(axis=1), score.argmax(axis=1) if model.languages else np.full(len(texts), 0)
             top = score.max(axis=1) if model.languages else np.zeros(len(texts))
-            lettered = np.array([bool(_LETTER.search(t)) for t in texts], bool)
+            lettered = np.array([has_letter(t) for t in texts], bool)
             lang = np.where(lettered, names[best], UNDETERMINED)
             value = np.where(lettered & (total > 0), top / np.maximum(total, 1e-9), 0.0)
             yield pa.record_batch([b.column("doc_id"), pa.array(lang.tolist(), pa.string()), pa.array(np.clip(value, 0, 1))], names=["doc_id", "lang_pred", "score"])
@@ -138,7 +166,7 @@ def _predict(model: LanguageFilter):
     return run
 
 
-def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
+def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of every row of docs (doc_id, text; other columns are ignored).
 
     The score is the winner's share of all languages' corrected counts. A null text or one without a letter is `und` with

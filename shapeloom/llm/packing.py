@@ -160,7 +160,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     # One row for each length: at most `capacity` rows come to the driver.
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs, _ = plan(totals, capacity)
-    ranked = pieces.join(counts.drop("n"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("local_rank"))
+    # A partition has at most `capacity` lengths, but there is no bound on the partitions, so the counts are not broadcast.
+    ranked = pieces.join(counts.drop("n").hint("merge"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("local_rank"))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return ranked.mapInArrow(_place(runs), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 

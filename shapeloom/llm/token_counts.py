@@ -18,6 +18,9 @@ from pyspark.sql import types as T
 
 from . import batches, tokens, workspace
 
+#: A content with more than one row in this many is hot.
+HOT_SHARE = 1_000
+
 CACHE_SCHEMA = T.StructType(
     [
         T.StructField("tokenizer_sha256", T.StringType()),
@@ -56,16 +59,22 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     texts = batches.documents(docs).withColumn("content_sha256", batches.sha256_hex(F.col("text")))
     keys = workspace.stash(texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content_sha256"), "token-keys")
 
+    contents = workspace.stash(keys.groupBy("content_sha256").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "token-contents")
     stored = read_cache(spark, cache_path).where(F.col("tokenizer_sha256") == version).select("content_sha256", "n_tokens").dropDuplicates(["content_sha256"])
-    misses = keys.groupBy("content_sha256").agg(F.min("doc_id").alias("doc_id")).join(stored, "content_sha256", "left_anti")
+    misses = contents.drop("n").join(stored, "content_sha256", "left_anti")
     # One document stands for each missing content. A repeated doc id may bring further rows, which dropDuplicates removes.
-    chosen = texts.join(misses.hint("shuffle_hash"), ["doc_id", "content_sha256"], "left_semi").select("content_sha256", "text")
+    same = texts["doc_id"].eqNullSafe(misses["doc_id"]) & (texts["content_sha256"] == misses["content_sha256"])
+    chosen = texts.join(misses.hint("shuffle_hash"), same, "left_semi").select("content_sha256", "text")
     counted = chosen.mapInArrow(_encode(tokenizer_path), "content_sha256 string, n_tokens long")
     new = counted.dropDuplicates(["content_sha256"]).select(F.lit(version).alias("tokenizer_sha256"), "content_sha256", "n_tokens")
     new.write.mode("append").parquet(cache_path)
 
     counts = read_cache(spark, cache_path).where(F.col("tokenizer_sha256") == version).select("content_sha256", "n_tokens").dropDuplicates(["content_sha256"])
-    out = keys.join(counts, "content_sha256")
+    # At most HOT_SHARE contents can each have more than one row in HOT_SHARE, so their counts have a proven bound, and the
+    # many rows of a hot content need not meet in one task.
+    hot = contents.where(F.col("n") > keys.count() / HOT_SHARE).select("content_sha256")
+    hot = F.broadcast(counts.join(hot, "content_sha256", "left_semi"))
+    out = keys.join(hot, "content_sha256").unionByName(keys.join(hot, "content_sha256", "left_anti").join(counts, "content_sha256"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

@@ -26,6 +26,9 @@ BLOCK_IDS = 16_384
 CHUNK_IDS = 262_144
 END_ID = 2
 LEVEL = 3
+#: Bytes of input for one range of document ids, beyond the least number of ranges.
+RANGE_BYTES = 256 << 20
+UNKNOWN_BYTES = 1 << 60
 CHUNK_SCHEMA = "shard int, chunk int, first_id long, doc_ids array<long>, n_ids array<long>, block_ids int, planes binary"
 
 
@@ -71,6 +74,22 @@ def decode_chunk(data: bytes, n: int, block: int = BLOCK_IDS) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
+def decode_slice(data: bytes, n: int, start: int, count: int, block: int = BLOCK_IDS) -> np.ndarray:
+    """The ids from `start` on, `count` of them, of a chunk of n ids; blocks without any of them are skipped unread."""
+    press, at, out = zstandard.ZstdDecompressor(), 0, []
+    for first in range(0, min(n, start + count), block):
+        k = struct.unpack_from("<I", data, at)[0]
+        sizes = struct.unpack_from(f"<{k}I", data, at + 4)
+        at += 4 + 4 * k
+        size = min(block, n - first)
+        if first + size > start:
+            ends = np.cumsum(sizes)
+            ids = join_planes([press.decompress(data[at + z - s : at + z]) for s, z in zip(sizes, ends.tolist(), strict=True)], size)
+            out.append(ids[max(0, start - first) : start + count - first])
+        at += sum(sizes)
+    return np.concatenate(out) if out else np.zeros(0, "<u4")
+
+
 def _chunks(path: str, end_id: int, block: int, chunk_ids: int, by: str):
     end = end_id.to_bytes(4, "little")
     schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("first_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_ids", pa.list_(pa.int64())), ("block_ids", pa.int32()), ("planes", pa.binary())])
@@ -107,6 +126,9 @@ def write_ids(docs: DataFrame, tokenizer_path: str, out_path: str, end_id: int =
     order does not depend on how the input is dealt. An empty table gives an empty file.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Spark's own estimate of the input's size; an unknown size is no estimate.
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(parts, -(-size // RANGE_BYTES)) if size < UNKNOWN_BYTES else parts
     ordered = batches.documents(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.octet_length("text"), "text")
     ordered.mapInArrow(_chunks(tokenizer_path, end_id, block, chunk_ids, by), CHUNK_SCHEMA).write.mode("error").parquet(out_path)
 
@@ -140,6 +162,29 @@ def read_digests(spark, path: str) -> DataFrame:
     return out.select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def read_documents(spark, path: str, wanted: DataFrame) -> DataFrame:
+    """doc_id, ids (array) of the documents whose doc_id is in wanted, a row for each stored row.
+
+    The index (ids and lengths, without the planes) tells which chunks and which blocks of them to open.
+    """
+    chunks = spark.read.schema(CHUNK_SCHEMA).parquet(path)
+    sums = F.transform(F.sequence(F.lit(1), F.size("n_ids")), lambda k: F.aggregate(F.slice("n_ids", 1, k - 1), F.lit(0).cast("long"), lambda a, x: a + x))
+    index = chunks.where(F.size("doc_ids") > 0).select("shard", "chunk", F.explode(F.arrays_zip("doc_ids", "n_ids", sums.alias("at"))).alias("x"))
+    places = index.select("shard", "chunk", F.col("x.doc_ids").alias("doc_id"), F.col("x.n_ids").alias("n"), F.col("x.at").alias("at"))
+    places = places.join(wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    places = places.groupBy("shard", "chunk").agg(F.collect_list(F.struct("doc_id", "at", "n")).alias("places"))
+    total = F.aggregate("n_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total")
+    opened = chunks.select("shard", "chunk", "block_ids", "planes", total).join(places, ["shard", "chunk"])
+
+    def run(parts):
+        for b in parts:
+            for row in b.to_pylist():
+                ids = [decode_slice(row["planes"], row["total"], x["at"], x["n"], row["block_ids"]).tolist() for x in row["places"]]
+                yield pa.record_batch([pa.array([x["doc_id"] for x in row["places"]], pa.int64()), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return opened.mapInArrow(run, "doc_id long, ids array<long>")
+
+
 def op7_token_files(spark, sf_dir: str) -> DataFrame:
     path = workspace.fresh_path(spark, "token-files")
     write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokens.default_path("word_bpe_49k.json"), path)

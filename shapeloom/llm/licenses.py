@@ -56,12 +56,12 @@ FAMILIES = (
     ("unlicense", "unlicense", "unlicense", ""),
     ("wtfpl", "wtfpl", "wtfpl", ""),
     ("cc0", "(?:cc0|creative commons zero)", "cc0|creative commons", "1 0"),
-    ("cc-by", "(?:cc|creative commons) (?:by|attribution)", "cc by|creative commons", "1 0|2 0|2 5|3 0|4 0"),
-    ("cc-by-sa", "(?:cc|creative commons) (?:by|attribution) (?:sa|share ?alike)", "cc by|creative commons", "1 0|2 0|2 5|3 0|4 0"),
-    ("cc-by-nc", "(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial)", "cc by|creative commons", "1 0|2 0|2 5|3 0|4 0"),
-    ("cc-by-nd", "(?:cc|creative commons) (?:by|attribution) (?:nd|no ?deriv(?:ative)?s?)", "cc by|creative commons", "1 0|2 0|2 5|3 0|4 0"),
-    ("cc-by-nc-sa", "(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:sa|share ?alike)", "cc by|creative commons", "1 0|2 0|2 5|3 0|4 0"),
-    ("cc-by-nc-nd", "(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:nd|no ?deriv(?:ative)?s?)", "cc by|creative commons", "1 0|2 0|2 5|3 0|4 0"),
+    ("cc-by", "(?:cc|creative commons) (?:by|attribution)", "cc by|cc attribution|creative commons", "1 0|2 0|2 5|3 0|4 0"),
+    ("cc-by-sa", "(?:cc|creative commons) (?:by|attribution) (?:sa|share ?alike)", "cc by|cc attribution|creative commons", "1 0|2 0|2 5|3 0|4 0"),
+    ("cc-by-nc", "(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial)", "cc by|cc attribution|creative commons", "1 0|2 0|2 5|3 0|4 0"),
+    ("cc-by-nd", "(?:cc|creative commons) (?:by|attribution) (?:nd|no ?deriv(?:ative)?s?)", "cc by|cc attribution|creative commons", "1 0|2 0|2 5|3 0|4 0"),
+    ("cc-by-nc-sa", "(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:sa|share ?alike)", "cc by|cc attribution|creative commons", "1 0|2 0|2 5|3 0|4 0"),
+    ("cc-by-nc-nd", "(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:nd|no ?deriv(?:ative)?s?)", "cc by|cc attribution|creative commons", "1 0|2 0|2 5|3 0|4 0"),
     ("public-domain", "(?:in|into) the public domain", "public domain", ""),
     ("proprietary", "all rights reserved", "all rights reserved", ""),
 )
@@ -114,7 +114,7 @@ BODIES = (
     ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain", "associated a work with this deed"),
 )
 #: Signs whose absence ends the work on a text: every rule's match has one of them.
-GATES = ("licen", "spdx", "public domain", "all rights reserved", "cc by", "cc0", "creative commons", "wtfpl", "bsd", "gpl", "gfdl", "mpl", "epl", "eupl", "cddl") + (
+GATES = ("licen", "spdx", "public domain", "all rights reserved", "cc by", "cc attribution", "cc0", "creative commons", "wtfpl", "bsd", "gpl", "gfdl", "mpl", "epl", "eupl", "cddl") + (
     "distributed under", "released under", "available under", "provided under", *sorted({part for _, _, part in BODIES})
 )
 #: A plain search for the rarest word of each gate comes first: it is far cheaper than the gates' own regex.

@@ -28,8 +28,7 @@ def derive(grammar: ForwardGrammar, iterations: int) -> DataFrame:
     modules = grammar.axiom
     rules = grammar.productions
     for _ in range(iterations):
-        # A grammar's productions are written by hand: a few rows.
-        joined = modules.join(F.broadcast(rules), "sym", "left")
+        joined = modules.join(rules, "sym", "left")
         modules = joined.select(
             F.concat("path", F.array(F.coalesce("child", F.lit(0)))).alias("path"),
             F.coalesce("child_sym", "sym").alias("sym"),
@@ -41,7 +40,7 @@ def derive(grammar: ForwardGrammar, iterations: int) -> DataFrame:
 def render(grammar: ForwardGrammar, modules: DataFrame, merge_tol: float = 1e-6, graph_id: str = "generated") -> Graphs:
     """One graph of all modules' shapes. Points in one cell of size merge_tol (halves to even) are one vertex, at the first
     one's place; ids follow the first appearance in module order. Symbols without a shape are dropped."""
-    drawn = modules.join(F.broadcast(grammar.terminal_vertices), "sym")
+    drawn = modules.join(grammar.terminal_vertices, "sym")
     x, y = G.apply_x(F.col("frame"), F.col("x"), F.col("y")), G.apply_y(F.col("frame"), F.col("x"), F.col("y"))
     drawn = drawn.select("path", "v", x.alias("x"), y.alias("y"))
     drawn = drawn.select("*", F.rint(F.col("x") / merge_tol).cast("long").alias("qx"), F.rint(F.col("y") / merge_tol).cast("long").alias("qy"))
@@ -50,7 +49,7 @@ def render(grammar: ForwardGrammar, modules: DataFrame, merge_tol: float = 1e-6,
     cells = cells.withColumn("id", F.row_number().over(Window.orderBy("first.path", "first.v")).cast("long") - 1)
     vertices = cells.select(F.lit(graph_id).alias("graph_id"), F.col("id").alias("v"), "first.x", "first.y")
     named = drawn.join(cells.select("qx", "qy", "id"), ["qx", "qy"]).select("path", "v", "id")
-    shaped = modules.select("path", "sym").join(F.broadcast(grammar.terminal_edges), "sym")
+    shaped = modules.select("path", "sym").join(grammar.terminal_edges, "sym")
     end = lambda c: named.select("path", F.col("v").alias(c), F.col("id").alias(f"{c}_id"))
     edges = shaped.join(end("u"), ["path", "u"]).join(end("w"), ["path", "w"]).where("u_id <> w_id")
     return Graphs(vertices, normal_edges(edges.select(F.lit(graph_id).alias("graph_id"), F.col("u_id").alias("a"), F.col("w_id").alias("b"))))

@@ -42,6 +42,8 @@ def key_struct(key: tuple) -> dict:
 def in_context(occurrences: DataFrame, graphs: Graphs, *carry: str) -> DataFrame:
     """Each occurrence with `context`: its vertices, their places and neighbours, by id."""
     flat = occurrences.select("graph_id", "pos", *carry, F.explode("occ").alias("v")).join(graphs.surroundings(), ["graph_id", "v"])
+    # A context is small and its work in Python is not, so contexts are dealt over a fixed number of tasks.
+    flat = flat.repartition(int(occurrences.sparkSession.conf.get("spark.sql.shuffle.partitions")), "graph_id", "pos")
     return flat.groupBy("graph_id", "pos", *carry).agg(F.array_sort(F.collect_list(F.struct("v", "x", "y", "around"))).alias("context"))
 
 

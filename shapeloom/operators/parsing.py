@@ -41,7 +41,7 @@ class Parsed:
 
 
 def rule_keys(grammar: Grammar, quant: float) -> DataFrame:
-    """rule_id, symbol, level, order, key of every rule's right side."""
+    """graph_id, rule_id, symbol, level, order, key of every rule's right side."""
 
     def run(frames):
         for df in frames:
@@ -50,10 +50,10 @@ def rule_keys(grammar: Grammar, quant: float) -> DataFrame:
                 ids = [int(v["id"]) for v in r.rhs_vertices]
                 points = np.array([(v["x"], v["y"]) for v in r.rhs_vertices])
                 key = canonical(ids, points, [(int(e["u"]), int(e["w"])) for e in r.rhs_edges], quant).key
-                rows.append((r.rule_id, r.lhs, r.level, len(ids), key_struct(key)))
-            yield pd.DataFrame(rows, columns=["rule_id", "symbol", "level", "order", "key"])
+                rows.append((r.graph_id, r.rule_id, r.lhs, r.level, len(ids), key_struct(key)))
+            yield pd.DataFrame(rows, columns=["graph_id", "rule_id", "symbol", "level", "order", "key"])
 
-    return grammar.rules.select("rule_id", "lhs", "level", "rhs_vertices", "rhs_edges").mapInPandas(run, f"rule_id int, symbol string, level int, order int, key {KEY}")
+    return grammar.rules.select("graph_id", "rule_id", "lhs", "level", "rhs_vertices", "rhs_edges").mapInPandas(run, f"graph_id string, rule_id int, symbol string, level int, order int, key {KEY}")
 
 
 def _reduce(graphs: Graphs, chosen: DataFrame, step: int, placement: str) -> tuple[DataFrame, Graphs]:
@@ -82,21 +82,26 @@ def _reduce(graphs: Graphs, chosen: DataFrame, step: int, placement: str) -> tup
     return undo, Graphs(stash(after.vertices, "parse-vertices"), stash(after.edges, "parse-edges"))
 
 
-def parse(graphs: Graphs, grammar: Grammar, placement: str = "centroid", quant: float = 0.05, max_steps: int = 100_000, settings: Settings | None = None) -> Parsed:
-    """Reduce every graph until no rule fits. In each step the first rule, by level and order, that occurs is applied to its cover."""
+def parse(graphs: Graphs, grammar: Grammar, placement: str = "centroid", quant: float = 0.05, max_steps: int = 100_000, settings: Settings | None = None, shared: bool = False) -> Parsed:
+    """Reduce every graph until no rule fits. In each step the first rule, by level, order and id, that occurs is applied to its cover.
+
+    A graph is reduced by the rules of its own graph_id, or with shared by the rules of all, whatever their graph_id; of
+    shared rules that agree in level, order and id the one of the least graph_id is first.
+    """
     spark = graphs.vertices.sparkSession
     keys = stash(rule_keys(grammar, quant), "parse-keys")
     largest = keys.agg(F.max("order")).first()[0] or 2
     settings = replace(settings or Settings(), quant=quant, min_frequency=1, max_order=largest, frequency_cut=0.0)
-    rank = F.row_number().over(Window.orderBy("level", "order", "rule_id"))
-    ranked = keys.withColumn("rank", rank)
+    on = ["key"] if shared else ["graph_id", "key"]
+    rank = F.struct("level", "order", "rule_id", F.col("rule_graph") if shared else F.lit(""))
+    ranked = keys.withColumnRenamed("graph_id", "rule_graph") if shared else keys
     base = graphs.vertices.groupBy("graph_id").agg(F.greatest(F.lit(NODE_BASE).cast("long"), F.max("v") + 1).alias("next"))
     counter = stash(base, "parse-counter")
     current = Graphs(stash(graphs.vertices, "parse-vertices"), stash(graphs.edges, "parse-edges"))
     active, steps, undo = current, None, None
     for step in range(max_steps):
         found = detect(active, settings)
-        fits = found.where("pos = grp").join(F.broadcast(ranked), "key").groupBy("graph_id").agg(F.min_by(F.struct("grp", "rule_id", "symbol", "level", "order"), "rank").alias("r"))
+        fits = found.where("pos = grp").join(ranked, on).groupBy("graph_id").agg(F.min_by(F.struct("grp", "rule_id", "symbol", "level", "order"), rank).alias("r"))
         fits = stash(fits.select("graph_id", "r.*"), "parse-fits")
         if fits.isEmpty():
             break

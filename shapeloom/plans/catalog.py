@@ -13,10 +13,10 @@ from ..functions import geometry as G
 from ..functions.kernels import hull_area
 from ..operators import forward, networks, reports, rules, signals
 from ..operators.graphs import Graphs
-from ..operators.mining import Settings, alike, detect, frequency_cut, groups_of
+from ..operators.mining import Settings, alike, detect, frequency_cut, groups_of, pattern_seed
 from ..operators.parsing import parse, reconstruct
 from ..sources import generators, readers, writers
-from . import inputs
+from . import inputs, path_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -52,7 +52,7 @@ e AS (SELECT * FROM (SELECT g, v AS u, lead(v) OVER (PARTITION BY g ORDER BY v)
 _EMBED = """p AS (SELECT CAST(label AS VARCHAR) AS g, vec_id AS v, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
 e AS (SELECT * FROM (SELECT g, v AS u, lead(v) OVER (PARTITION BY g ORDER BY v) AS w FROM p) WHERE w IS NOT NULL)"""
 _SUPPLY = "e AS (SELECT DISTINCT -l_suppkey - 1 AS u, l_partkey AS w FROM lineitem)"
-_HALF_EVEN = "CASE WHEN {x} - floor({x}) < 0.5 THEN floor({x}) WHEN {x} - floor({x}) > 0.5 THEN floor({x}) + 1 WHEN floor({x}) % 2 = 0 THEN floor({x}) ELSE floor({x}) + 1 END"
+_HALF_EVEN = path_sql.HALF_EVEN
 
 
 # ---- series and trajectories
@@ -83,19 +83,30 @@ def trajectory_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_SERIES}, d AS (SELECT g, i, x - avg(x) OVER (PARTITION BY g) AS d, count(*) OVER (PARTITION BY g) AS n FROM s),
-r AS (SELECT a.g, b.i - a.i AS lag, sum(a.d * b.d) AS r FROM d a JOIN d b ON a.g = b.g AND b.i > a.i AND b.i - a.i < least(20, a.n - 1) GROUP BY 1, 2),
+r AS (SELECT a.g, b.i - a.i AS lag, sum(a.d * b.d) AS r FROM d a JOIN d b ON a.g = b.g AND b.i > a.i AND b.i - a.i < least(100, a.n - 1) GROUP BY 1, 2),
 f AS (SELECT g, min(lag) AS tau FROM r WHERE r <= 0 GROUP BY 1)
-SELECT DISTINCT s.g AS series_id, CAST(coalesce(tau, 5) AS INTEGER) AS tau FROM s LEFT JOIN f USING (g)""")
+SELECT DISTINCT s.g AS series_id, CAST(coalesce(tau, 25) AS INTEGER) AS tau FROM s LEFT JOIN f USING (g)""")
 def autocorr_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.estimate_tau(inputs.series(spark, sf_dir))
 
 
-@query()
+def _filtered(fs: float, low: float, high: float) -> str:
+    """SQL: s and b(g, i, x, n), the series of s without the frequencies outside low..high, by sums of sines and cosines."""
+    return f"""{_SERIES}, n AS (SELECT g, count(*) AS n FROM s GROUP BY 1),
+k AS (SELECT g, n, k, CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END AS weight FROM n, range(100000) AS t(k) WHERE 2 * k <= n AND k * (1 / (n * (1 / {fs!r}::DOUBLE))) >= {low!r}::DOUBLE AND k * (1 / (n * (1 / {fs!r}::DOUBLE))) <= {high!r}::DOUBLE),
+c AS (SELECT s.g, k.k, any_value(k.n) AS n, any_value(weight) AS weight, sum(x * cos(2 * pi() * ((k.k * i) % k.n) / k.n)) AS re, sum(x * sin(2 * pi() * ((k.k * i) % k.n) / k.n)) AS im FROM s JOIN k ON s.g = k.g GROUP BY 1, 2),
+b AS (SELECT s.g, s.i, any_value(n.n) AS n, coalesce(sum(weight * (re * cos(2 * pi() * ((k * i) % c.n) / c.n) + im * sin(2 * pi() * ((k * i) % c.n) / c.n))), 0) / any_value(n.n) AS x FROM s JOIN n ON s.g = n.g LEFT JOIN c ON c.g = s.g GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_filtered(160.0, 4.0, 30.0)} SELECT g AS series_id, i, CAST(floor(x * 1e4::DOUBLE + 0.5) AS BIGINT) AS x FROM b")
 def bandpass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.bandpass(inputs.series(spark, sf_dir), 160.0, 4.0, 30.0)
+    return signals.bandpass(inputs.series(spark, sf_dir), 160.0, 4.0, 30.0).select("series_id", "i", micro(F.col("x"), 1e4).alias("x"))
 
 
-@query()
+@query(f"""WITH {_filtered(160.0, 0.0, 60.0)}, d AS (SELECT g, i, n, x - avg(x) OVER (PARTITION BY g) AS d FROM b),
+r AS (SELECT a.g, z.i - a.i AS lag, sum(a.d * z.d) AS r FROM d a JOIN d z ON a.g = z.g AND z.i > a.i AND z.i - a.i < least(100, a.n - 1) GROUP BY 1, 2),
+t AS (SELECT n.g, n.n, coalesce(min(CASE WHEN r <= 0 THEN lag END), 25) AS tau FROM n LEFT JOIN r ON n.g = r.g GROUP BY 1, 2)
+SELECT g AS graph_id, u, u + 1 AS w FROM (SELECT g, unnest(range(n - tau - 1)) AS u FROM t WHERE n - tau > 1)""")
 def signal_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.signal_graph(inputs.series(spark, sf_dir), 160.0, count=None, band=(0.0, 60.0))[0].edges
 
@@ -208,14 +219,21 @@ def similarity_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("graph_id", micro(F.col("c") / F.col("q")).alias("a00"), micro(F.col("s") / F.col("q")).alias("a10"))
 
 
-@query()
+@query(f"""WITH {_path()}, h AS (SELECT DISTINCT g, x, y FROM p),
+side AS (SELECT a.g, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy FROM h a JOIN h b ON a.g = b.g AND (a.x <> b.x OR a.y <> b.y)
+  WHERE NOT EXISTS (SELECT 1 FROM h c WHERE c.g = a.g AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0
+    OR (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND ((c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y) < 0 OR (c.x - b.x) * (a.x - b.x) + (c.y - b.y) * (a.y - b.y) < 0)))),
+area AS (SELECT g, sum(px * qy - py * qx) / 2 AS area FROM side GROUP BY 1)
+SELECT DISTINCT h.g AS graph_id, CAST(floor(coalesce(area, 0) * 100 + 0.5) AS BIGINT) AS area FROM h LEFT JOIN area USING (g)""")
 def convex_hull_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas in hundredths; the SQL finds a hull's sides as the pairs that have no point on their right."""
     import pandas as pd
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"graph_id": [df["graph_id"].iloc[0]], "area": [hull_area(df[["x", "y"]].to_numpy())]})
 
-    return inputs.trajectories(spark, sf_dir).vertices.select("graph_id", "x", "y").groupBy("graph_id").applyInPandas(run, "graph_id string, area double")
+    areas = inputs.trajectories(spark, sf_dir).vertices.select("graph_id", "x", "y").groupBy("graph_id").applyInPandas(run, "graph_id string, area double")
+    return areas.select("graph_id", micro(F.col("area"), 100.0).alias("area"))
 
 
 @query(f"""WITH {_path()}, t AS (SELECT a.g, a.v, a.x, a.y, b.x - a.x AS dx, b.y - a.y AS dy, c.x - a.x AS ex, c.y - a.y AS ey FROM p a JOIN p b ON a.g = b.g AND b.v = a.v + 1 JOIN p c ON a.g = c.g AND c.v = a.v + 2),
@@ -277,16 +295,26 @@ m AS (SELECT g, a, list_sort([{views}])[1] AS l FROM t),
 k AS (SELECT g, a, array_to_string(list_transform(l, lambda z: array_to_string(z, ' ')), ';') AS key FROM m)"""
 
 
-@query(f"WITH {_triple_sql()} SELECT g AS graph_id, a, key FROM k")
+def key_text(key: Column) -> Column:
+    """Cells and links of a canonical key as text."""
+    pair = lambda a, b: lambda z: F.concat_ws(" ", z[a], z[b])
+    return F.concat_ws("|", F.array_join(F.transform(key["q"], pair("qx", "qy")), ";"), F.array_join(F.transform(key["e"], pair("i", "j")), ";"))
+
+
+@query(f"WITH {_path()}, {path_sql.places()}, t AS (SELECT g, unnest(range(n - 2)) AS a FROM n WHERE n > 2), {path_sql.forms(3, 't', LOOSE)} SELECT g AS graph_id, a, {path_sql.KEY_TEXT} AS key FROM f3")
 def triple_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triple_keys(inputs.trajectories(spark, sf_dir), LOOSE)
+    """The canonical key of every three consecutive vertices, as start shapes of a user's choice."""
+    graphs = inputs.trajectories(spark, sf_dir)
+    runs = _triples(graphs).select("graph_id", F.col("a").alias("pos"), F.sequence(F.col("a"), F.col("a") + 2).alias("occ"))
+    return pattern_seed(graphs, runs, _shapes()).select("graph_id", F.col("occ")[0].alias("a"), key_text(F.col("key")).alias("key"))
 
 
-@query(f"WITH {_triple_sql()} SELECT key, count(*) AS frequency, 2 * count(*) AS gain FROM k GROUP BY 1 HAVING count(*) >= 2")
+@query(f"WITH {_path()}, {path_sql.mined(3, LOOSE)} SELECT {path_sql.KEY_TEXT} AS key, count(*) AS frequency, 2 * count(*) AS gain FROM found WHERE ord = 3 GROUP BY 1")
 def isogroup_frequency_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: how often each path of three vertices repeats in all trajectories, up to rotation, scale and shift."""
-    keys = triple_keys(inputs.trajectories(spark, sf_dir), LOOSE)
-    return keys.groupBy("key").agg(F.count("*").alias("frequency")).where("frequency >= 2").select("key", "frequency", (2 * F.col("frequency")).alias("gain"))
+    """Flagship: how often each shape of three vertices repeats within trajectories, up to rotation, scale and shift."""
+    found = detect(inputs.trajectories(spark, sf_dir), Settings(quant=LOOSE, max_order=3)).where("ord = 3")
+    groups = found.groupBy(key_text(F.col("key")).alias("key")).agg(F.count("*").alias("frequency"))
+    return groups.select("key", "frequency", (2 * F.col("frequency")).alias("gain"))
 
 
 @query(f"""WITH {_triple_sql()}, f AS (SELECT g, key, count(*) AS frequency FROM k GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY frequency DESC, key) AS rank, count(*) OVER (PARTITION BY g) AS n FROM f),
@@ -406,17 +434,22 @@ def _shapes() -> Settings:
     return Settings(quant=LOOSE)
 
 
-@query()
+#: What the defaults of mining find on the paths of each table.
+_MINED_TRAJECTORIES = f"WITH {_path()}, {path_sql.mined(Settings().max_order, LOOSE)}, c AS (SELECT g, ord, count(*) AS frequency FROM found GROUP BY g, ord, q, links)"
+_MINED_EMBEDDINGS = f"WITH {_EMBED}, {path_sql.mined(Settings().max_order, LOOSE)}, c AS (SELECT g, ord, count(*) AS frequency FROM found GROUP BY g, ord, q, links)"
+
+
+@query(f"{_MINED_TRAJECTORIES} SELECT g AS graph_id, ord, frequency, frequency * (ord - 1) AS gain FROM c")
 def detect_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups_of(detect(inputs.trajectories(spark, sf_dir), _shapes())).select("graph_id", "ord", "frequency", "gain")
 
 
-@query()
+@query(f"{_MINED_EMBEDDINGS} SELECT g AS graph_id, ord, count(*) AS groups, max(frequency) AS max_frequency FROM c GROUP BY 1, 2")
 def order_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.order_histogram(detect(inputs.embedding_paths(spark, sf_dir), _shapes()))
 
 
-@query()
+@query(f"{_MINED_EMBEDDINGS} SELECT g AS graph_id, ord, frequency FROM c WHERE frequency >= 2 QUALIFY row_number() OVER (PARTITION BY g ORDER BY ord DESC, frequency DESC) = 1")
 def select_isogroup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select_group(groups_of(detect(inputs.embedding_paths(spark, sf_dir), _shapes()))).select("graph_id", "ord", "frequency")
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -57,21 +56,18 @@ def save_json(data: dict, path: str) -> None:
 
 
 def grammar_text(grammar: Grammar, graph_id: str) -> str:
-    """A readable listing of one graph's rules."""
+    """A listing of one graph's rules as a table: a line for each rule, then one for each of its vertices."""
     data = grammar_dict(grammar, graph_id)
-    out = [f"# geometric graph grammar ({data['transform_class']}, {data['dimension']}D)", f"# {len(data['rules'])} rule(s)"]
-    if data["axiom"] is not None:
-        out.append(f"axiom: {len(data['axiom']['vertices'])} vertices, {len(data['axiom']['edges'])} edges")
+    left = "none" if data["axiom"] is None else f"{len(data['axiom']['vertices'])}/{len(data['axiom']['edges'])}"
+    out = [f"{len(data['rules'])} rules; vertices/edges that no rule replaces: {left}", "rule\tname\tlevel\tseen\tplaced\tvertices\tedges"]
     for r in data["rules"]:
-        points, edges = r["rhs"]["vertices"], r["rhs"]["edges"]
-        out += ["", f"rule {r['id']} (level {r['level']}, freq {r['frequency']}): {r['lhs']['symbol']} -> S[{len(points)}v,{len(edges)}e] / B"]
-        out += [f"    v{p['id']}{' :' + p['symbol'] if p.get('symbol') else ''} @ ({p['x']:.3f}, {p['y']:.3f})" for p in points]
-        for e in r["embedding"]:
-            (a, b), (c, d) = e["transform"]["linear"]
-            ends = ", ".join(f"[{x:.3f}, {y:.3f}]" for x, y in e["connections"])
-            out.append(f"    embed v{e['vertex']}: scale {math.sqrt(abs(a * d - b * c)):.3f}, angle {math.degrees(math.atan2(c, a)):.1f} deg -> {{{ends}}}")
-        if r.get("occurrences"):
-            out.append(f"    occurrences: {len(r['occurrences'])} (world placements recorded)")
+        rhs = r["rhs"]
+        out.append("\t".join(map(str, (r["id"], r["lhs"]["symbol"], r["level"], r["frequency"], len(r.get("occurrences", [])), len(rhs["vertices"]), len(rhs["edges"])))))
+        outer = {e["vertex"]: e["connections"] for e in r["embedding"]}
+        for p in rhs["vertices"]:
+            near = sorted({a if b == p["id"] else b for a, b in rhs["edges"] if p["id"] in (a, b)})
+            links = "".join(f" ({x:.4g} {y:.4g})" for x, y in outer.get(p["id"], []))
+            out.append(f"\t{p['id']}{' = ' + p['symbol'] if p.get('symbol') else ''}\t({p['x']:.4g} {p['y']:.4g})\tnext to {near or '-'}\toutwards{links or ' -'}")
     return "\n".join(out)
 
 
@@ -96,13 +92,23 @@ def trace(parsed: Parsed, graph_id: str) -> dict:
 
 
 def trace_text(parsed: Parsed, graph_id: str) -> str:
+    """The derivation of one graph as a table, and the sizes before and after."""
     data = trace(parsed, graph_id)
-    out = ["=== syntax analysis (derivation by reduction) ===", f"input: {data['input']['vertices']} vertices, {data['input']['edges']} edges"]
-    for r in data["steps"]:
-        out.append(f"  step {r['step']:>3}: rule {r['rule_id']} '{r['symbol']}' (order {r['order']}, level {r['level']}) reduced {r['occurrences']} occurrence(s); {r['vertices_before']} -> {r['vertices_after']} vertices")
-    done = sum(r["occurrences"] for r in data["steps"])
-    verdict = "recognized" if data["reduced"]["vertices"] < data["input"]["vertices"] else "no rule matched"
-    out.append(f"result: {len(data['steps'])} step(s), {done} reduction(s); reduced to {data['reduced']['vertices']} vertices, {data['reduced']['edges']} edges ({verdict})")
+    out = ["step\trule\tlevel\torder\ttimes\tvertices"]
+    out += ["\t".join(map(str, (r["step"], r["symbol"], r["level"], r["order"], r["occurrences"], f"{r['vertices_before']} to {r['vertices_after']}"))) for r in data["steps"]]
+    size = lambda d: f"{d['vertices']} vertices and {d['edges']} edges"
+    out.append(f"{size(data['input'])} became {size(data['reduced'])}" if data["steps"] else f"{size(data['input'])}: no rule occurs")
+    return "\n".join(out)
+
+
+def report_text(data: dict) -> str:
+    """What report gives, as a table of orders and one of rules."""
+    g = data["grammar"]
+    out = [f"graph: {data['input']['vertices']} vertices, {data['input']['edges']} edges", "order\tshapes\tmost often"]
+    out += [f"{order}\t{x['groups']}\t{x['max_frequency']}" for order, x in sorted(data["isogroups_by_order"].items())]
+    out.append("rule\tlevel\torder\tseen\tplaced\tsaved")
+    out += [f"{r['rule_id']}\t{r['level']}\t{r['ord']}\t{r['frequency']}\t{r['encoded']}\t{r['saved']}" for r in g["rules"]]
+    out.append(f"{g['n_rules']} rules on {g['levels']} levels save {g['vertices_saved']} vertices ({g['compression_ratio']:.1%}); {g['axiom_vertices']} are left")
     return "\n".join(out)
 
 

@@ -107,3 +107,23 @@ def test_edf():
     assert K.edf_channel(edf_bytes(samples), 1)[0].tolist() == pytest.approx([0.01, 0.02, 0.03, 0.04])
     with pytest.raises(IndexError):
         K.edf_channel(edf_bytes(samples), 2)
+
+
+def test_degree2_sweeps_like_one_vertex_after_another():
+    """Against plain sweeps: ascending ids, again and again until nothing changes."""
+    for seed in range(300):
+        rng = random.Random(seed)
+        n = rng.randint(2, 14)
+        links = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(rng.randint(1, 16))}
+        near = {v: {b if a == v else a for a, b in links if v in (a, b)} for v in range(n)}
+        near = {v: x for v, x in near.items() if x}
+        plain, changed = {v: set(x) for v, x in near.items()}, True
+        while changed:
+            changed = False
+            for v in sorted(plain):
+                if len(plain[v]) == 2:
+                    one, other = plain.pop(v)
+                    plain[one] = plain[one] - {v} | {other}
+                    plain[other] = plain[other] - {v} | {one}
+                    changed = True
+        assert K.dissolve_degree2(near) == {(v, w) for v, x in plain.items() for w in x if v < w}, seed

@@ -80,3 +80,38 @@ def test_cover_example():
     assert cover([frozenset((0, 1, 2)), frozenset((3, 4, 5)), frozenset((2, 6, 7))]) == [0, 1]
 
 
+
+
+def test_placements_lead_to_the_world(spark):
+    """A rule's vertices under each placement's transform stand where the covered vertices do."""
+    graphs = triangles(spark)
+    grammar = learn(graphs)
+    world = {r["v"]: (r["x"], r["y"]) for r in graphs.vertices.collect()}
+    local = {p["id"]: (p["x"], p["y"]) for p in grammar.rules.first()["rhs_vertices"]}
+    for p in grammar.placements.collect():
+        t = p["transform"]
+        for at in p["vertices"]:
+            x, y = local[at["local"]]
+            assert (t["a00"] * x + t["a01"] * y + t["b0"], t["a10"] * x + t["a11"] * y + t["b1"]) == pytest.approx(world[at["v"]])
+
+
+def test_grammars_of_two_graphs_stay_apart(spark):
+    """Without shared a graph is reduced by its own rules only."""
+    one, other = lattice(spark, 2, 4, graph_id="one"), triangles(spark)
+    both = Graphs(one.vertices.unionByName(other.vertices), one.edges.unionByName(other.edges))
+    grammar = learn(other, max_levels=1)
+    own = parse(both, grammar, max_steps=2)
+    assert {r["graph_id"] for r in own.steps.collect()} == {"two"}
+    assert {r["graph_id"] for r in parse(both, grammar, max_steps=2, shared=True).steps.collect()} == {"two"}
+    assert parse(one, grammar, max_steps=2).steps.isEmpty()
+
+
+def test_larger_grid_has_a_greedy_cover(spark):
+    """A 5x5 lattice has more edges than the exact cover takes; a cover is disjoint and no further occurrence fits."""
+    from shapeloom.operators.rules import covers
+
+    found = detect(lattice(spark, 6, 6), Settings(max_order=2))
+    rows = covers(found).join(found, ["graph_id", "grp", "pos"]).collect()
+    used = [v for r in rows for v in r["occ"]]
+    assert found.count() == 60 and len(used) == len(set(used))
+    assert all(set(r["occ"]) & set(used) for r in found.collect())

@@ -25,7 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import batches, workspace
@@ -163,16 +163,22 @@ def _facing(key: int, i: int, at: np.ndarray, regs: np.ndarray, keys: np.ndarray
 
 
 def _best_partners(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """For each class on side 0 its most similar one in another part: node, partner, same (equal registers)."""
+    """key, node, partner, same: for each class on side 0 its most similar one in another part, with the number of equal registers.
+
+    Classes that face one of them, if only as one of several, have a row without a partner.
+    """
     node, label, n, side = (table.column(c).to_numpy() for c in ("node", "label", "n_shingles", "side"))
     regs, bucket = _registers_of(table.column("registers")), key[0].as_py()
-    keys, others, out = band_keys(regs), np.flatnonzero(side == 1), []
+    keys, others, out, faced = band_keys(regs), np.flatnonzero(side == 1), [], np.zeros(len(node), bool)
     for i in np.flatnonzero(side == 0):
         at, same = _facing(bucket, i, others, regs, keys, label, n)
         if len(at):
             best = same.argmax()
+            faced[at] = True
             out.append((int(node[i]), int(node[at[best]]), int(same[best])))
-    return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate(("node", "partner", "same"))})
+    out += [(int(x), None, None) for x in node[faced]]
+    columns = [pa.array([x[k] for x in out], pa.int64()) for k in range(3)]
+    return pa.table([pa.array([bucket] * len(out), pa.int64()), *columns], names=["key", "node", "partner", "same"])
 
 
 def _links_in_block(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -254,14 +260,9 @@ def _blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, *carry: str)
     return one.unionByName(other).join(sets.select("node", "n_shingles", "registers", *carry), "node").repartition(n_tasks, "key", "r", "c")
 
 
-def _row_key(doc_id: Column, text: Column) -> Column:
-    """Tells rows apart that differ in id or text."""
-    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.sha2(F.encode(text, "UTF-8"), 256))
-
-
 def _grouped(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, n_shingles, component (null without words), component_id of every row."""
-    source = batches.documents(docs).withColumn("row_key", _row_key(F.col("doc_id"), F.col("text")))
+    source = batches.documents(docs).withColumn("row_key", batches.row_key(F.col("doc_id"), F.col("text")))
     sketches = source.mapInArrow(_sketch, "doc_id long, row_key string, n_shingles long, set_digest string, registers binary")
     sketches = workspace.stash(sketches, "near-sketches")
     full = sketches.where("n_shingles > 0")
@@ -288,9 +289,12 @@ def _grouped(docs: DataFrame) -> DataFrame:
     stars = members.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("shared"))
     stars = stars.groupBy(F.col("node").alias("b")).agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("a")).select("a", "b")
     labels = grown(None, _confirmed(stars, sets))
-    best = _blocks(members, labels, sets).groupBy("key", "r", "c").applyInArrow(_best_partners, "node long, partner long, same long")
-    best = best.groupBy(F.col("node").alias("b")).agg(F.max_by("partner", F.struct("same", "partner")).alias("a")).select("a", "b")
+    near = _blocks(members, labels, sets).groupBy("key", "r", "c").applyInArrow(_best_partners, "key long, node long, partner long, same long")
+    near = workspace.stash(near, "near-partners")
+    best = near.where("partner IS NOT NULL").groupBy(F.col("node").alias("b")).agg(F.max_by("partner", F.struct("same", "partner")).alias("a")).select("a", "b")
     labels = grown(labels, _confirmed(best, sets))
+    # Only classes that face another part by registers can still have a link.
+    members = near.select("key", "node").distinct().join(members.select("key", "node", "n_shingles"), ["key", "node"])
     rest = _blocks(members, labels, sets, "hashes").groupBy("key", "r", "c").applyInArrow(_links_in_block, "a long, b long")
     labels = grown(labels, workspace.stash(rest, "near-links"))
 
@@ -323,10 +327,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first")
     kept = found.where("component IS NOT NULL").groupBy("component").agg(first).select(F.col("first.row_key").alias("row_key"))
     kept = workspace.stash(kept.unionByName(found.where("component IS NULL").select("row_key").distinct()), "near-kept")
-    key = "row_key" if "row_key" not in docs.columns else "row_key_" + "_".join(docs.columns)
-    keyed = docs.withColumn(key, _row_key(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    rows = keyed.join(kept.withColumnRenamed("row_key", key).hint("shuffle_hash"), key, "left_semi")
-    return rows.dropDuplicates([key]).select(docs.columns)
+    return batches.only_rows(docs, kept)
 
 
 def op8_minhash_near_dup(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,6 @@ import numpy as np
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 2**64)
 _STEP = 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -37,10 +36,18 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Byte values, bases and steps of two independent polynomials.
+_FAMILIES = ((_BYTE, _BASE, _STEP), (_RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1), 0xD1342543DE82EF95, 0xA0761D6478BD642F))
+
+
 class Words:
-    """The words of many texts: hashes, byte places, and where each text's words begin."""
+    """The words of many texts: hashes, byte places, and where each text's words begin.
+
+    family chooses one of two independent polynomials.
+    """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], family: int = 0):
+        values, base, self.step = _FAMILIES[family]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         begin = np.concatenate([[0], np.cumsum(sizes + 1)])
@@ -48,9 +55,9 @@ class Words:
         edge = np.diff(space.view(np.int8), prepend=np.int8(1))
         self.begin, self.end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         with np.errstate(over="ignore"):
-            sums = np.cumsum(_BYTE[data] * _powers("byte", _BASE, len(data)), dtype=np.uint64)
+            sums = np.cumsum(values[data] * _powers(f"byte{family}", base, len(data)), dtype=np.uint64)
             whole = sums[self.end - 1] - np.where(self.begin > 0, sums[self.begin - 1], np.uint64(0))
-            whole *= _powers("back", _BASE_INVERSE, len(data))[self.begin]
+            whole *= _powers(f"back{family}", pow(base, -1, 2**64), len(data))[self.begin]
         self.hash = mix(whole)
         self.text_begin = begin
         self.first = np.searchsorted(self.begin, begin)  # index of each text's first word; the last entry is the total
@@ -64,7 +71,7 @@ class Words:
             factor = 1
             for j in range(k):
                 out[:m] += h[j : j + m] * np.uint64(factor)
-                factor = factor * _STEP % 2**64
+                factor = factor * self.step % 2**64
         count = np.diff(self.first)
         last = np.repeat(self.first[1:] - k, count)
         return mix(out, seed), np.arange(n) <= last

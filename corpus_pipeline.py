@@ -7,7 +7,6 @@ columns of documents. No stage drops a clean document.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shapeloom.llm import decontaminate, exact_dedup, near_dup, packing, tokens, toxicity, workspace
 
@@ -19,13 +18,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
-    return _only(docs, exact_dedup.find_copies(docs).where("kept").select("doc_id"))
+    """Of equal texts one row, that with the largest id; null text is empty. Columns are those of docs."""
+    return exact_dedup.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
-    return _only(docs, near_dup.group_near_copies(docs).where("kept").select("doc_id"))
+    """Of each group of near copies one row: that of the smallest id, of several such the one with the least text digest.
+
+    Null texts and texts without words all stay. Repeated rows (one id, one text) count as one. Columns are those of docs.
+    """
+    return near_dup.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +40,6 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokens.default_path("word_bpe_49k.json"))
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
-
-
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact dedup", drop_copies),

@@ -24,7 +24,7 @@ HOT_SHARE = 1_000
 CACHE_SCHEMA = T.StructType(
     [
         T.StructField("tokenizer_sha256", T.StringType()),
-        T.StructField("content_sha256", T.StringType()),
+        T.StructField("content_sha256", T.BinaryType()),
         T.StructField("n_tokens", T.LongType()),
     ]
 )
@@ -56,7 +56,7 @@ def read_cache(spark, cache_path: str) -> DataFrame:
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of docs; new counts are appended at cache_path."""
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
-    texts = batches.documents(docs).withColumn("content_sha256", batches.sha256_hex(F.col("text")))
+    texts = batches.documents(docs).withColumn("content_sha256", F.unhex(batches.sha256_hex(F.col("text"))))
     keys = workspace.stash(texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content_sha256"), "token-keys")
 
     contents = workspace.stash(keys.groupBy("content_sha256").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "token-contents")
@@ -65,7 +65,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     # One document stands for each missing content. A repeated doc id may bring further rows, which dropDuplicates removes.
     same = texts["doc_id"].eqNullSafe(misses["doc_id"]) & (texts["content_sha256"] == misses["content_sha256"])
     chosen = texts.join(misses.hint("shuffle_hash"), same, "left_semi").select("content_sha256", "text")
-    counted = chosen.mapInArrow(_encode(tokenizer_path), "content_sha256 string, n_tokens long")
+    counted = chosen.mapInArrow(_encode(tokenizer_path), "content_sha256 binary, n_tokens long")
     new = counted.dropDuplicates(["content_sha256"]).select(F.lit(version).alias("tokenizer_sha256"), "content_sha256", "n_tokens")
     new.write.mode("append").parquet(cache_path)
 

@@ -11,11 +11,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.kernels import Grid, canonical, hull_area
+from ..functions.kernels import Forms, Grid, added_areas, canonical, canonical_batch, moved
 from ..sources.scratch import stash
 from .graphs import Graphs
 
@@ -62,47 +64,106 @@ class Local:
     def form(self, quant: float):
         return canonical(self.ids, self.points, self.edges, quant)
 
-    def grown(self, extra: int, quant: float):
-        """Key and number of edges with one more vertex."""
-        ids = sorted([*self.ids, extra])
-        points = np.array([self.place.get(v) or self.outside[v] for v in ids])
-        edges = self.edges + [(min(v, extra), max(v, extra)) for v in self.ids if extra in self.around[v]]
-        return canonical(ids, points, edges, quant).key, len(edges)
+
+class Contexts:
+    """A batch of occurrences of one size from their contexts (a list column), as arrays.
+
+    ids (B, n) ascend, points (B, n, 2), linked (B, n, n). The vertices next to an occurrence, by occurrence and id: owner (K),
+    extra (K), places (K, 2) and ties (K, n), which tells their links.
+    """
+
+    def __init__(self, context: pa.Array):
+        flat = context.flatten()
+        size, n = len(context), len(flat) // len(context)
+        number = lambda rows, name: rows.field(name).to_numpy(zero_copy_only=False)
+        self.ids = number(flat, "v").reshape(size, n)
+        self.points = np.stack([number(flat, "x"), number(flat, "y")], axis=1).reshape(size, n, 2)
+        around = flat.field("around")
+        near = around.flatten()
+        owner, vertex = np.divmod(np.repeat(np.arange(size * n), pc.list_value_length(around).to_numpy(zero_copy_only=False)), n)
+        ids, places = number(near, "v"), np.stack([number(near, "x"), number(near, "y")], axis=1)
+        same = self.ids[owner] == ids[:, None]
+        inside = same.any(axis=1)
+        self.linked = np.zeros((size, n, n), bool)
+        self.linked[owner[inside], vertex[inside], same[inside].argmax(axis=1)] = True
+        owner, vertex, ids, places = owner[~inside], vertex[~inside], ids[~inside], places[~inside]
+        by = np.lexsort((ids, owner))
+        owner, vertex, ids, places = owner[by], vertex[by], ids[by], places[by]
+        fresh = (np.diff(owner, prepend=-1) != 0) | (np.diff(ids, prepend=0) != 0)
+        self.ties = np.zeros((int(fresh.sum()), n), bool)
+        self.ties[np.cumsum(fresh) - 1, vertex] = True
+        self.owner, self.extra, self.places = owner[fresh], ids[fresh], places[fresh]
+
+    def forms(self, quant: float) -> Forms:
+        return canonical_batch(self.points, self.linked, quant)
+
+    def grown(self, chosen: np.ndarray, quant: float) -> tuple[np.ndarray, Forms]:
+        """Ids and forms of the occurrences with one more vertex each; chosen are places in extra, at least one."""
+        owner, n = self.owner[chosen], self.ids.shape[1]
+        ids = np.concatenate([self.ids[owner], self.extra[chosen, None]], axis=1)
+        points = np.concatenate([self.points[owner], self.places[chosen, None]], axis=1)
+        linked = np.zeros((len(chosen), n + 1, n + 1), bool)
+        linked[:, :n, :n], linked[:, n, :n], linked[:, :n, n] = self.linked[owner], self.ties[chosen], self.ties[chosen]
+        by, row = np.argsort(ids, axis=1), np.arange(len(chosen))[:, None]
+        return ids[row, by], canonical_batch(points[row, by], linked[row[:, :, None], by[:, :, None], by[:, None, :]], quant)
+
+
+def _by_size(batches):
+    """The batches' rows, those with contexts of one size together."""
+    for batch in batches:
+        sizes = pc.list_value_length(batch["context"]).to_numpy(zero_copy_only=False)
+        for n in np.unique(sizes):
+            yield batch.filter(pa.array(sizes == n))
+
+
+def _lists(values: pa.Array, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
+
+
+def key_array(forms: Forms) -> pa.Array:
+    """The keys as a column of type KEY."""
+    small = lambda a: pa.array(np.ascontiguousarray(a)).cast(pa.int32())
+    count, n = forms.cells.shape[:2]
+    one, other = np.triu_indices(n, 1)
+    pair = np.nonzero(forms.links)[1]
+    cells = pa.StructArray.from_arrays([small(forms.cells[..., 0].reshape(-1)), small(forms.cells[..., 1].reshape(-1))], ["qx", "qy"])
+    links = pa.StructArray.from_arrays([small(one[pair]), small(other[pair])], ["i", "j"])
+    return pa.StructArray.from_arrays([_lists(cells, np.arange(1, count + 1) * n), _lists(links, np.cumsum(forms.links.sum(axis=1)))], ["q", "e"])
 
 
 _GROWN = f"graph_id string, grp long, pos long, ai int, di int, child array<long>, key {KEY}, n_edges int, added array<double>"
+_CHILD = ["graph_id", "grp", "pos", "ai", "di", "child", "key", "n_edges", "added"]
 
 
 def _grow(settings: Settings):
     grid, quant = settings.grid, settings.quant
-
-    def run(frames):
-        for df in frames:
-            rows, known = [], {}
-            for r in df.itertuples(index=False):
-                here = Local(r.context)
-                form = here.form(quant)
-                cells: dict = {}
-                for c in sorted(here.outside):
-                    x, y = form.matrix @ here.outside[c] + form.shift
-                    cell = grid.cell(float(x), float(y))
-                    if cell is not None:
-                        cells.setdefault(cell, c)  # ascending ids: the lowest stays
-                added = None
-                if r.pos == r.grp:  # the group's pattern: what each cell would add to its hull
-                    base = here.points @ form.matrix.T + form.shift
-                    area = hull_area(base)
-                    added = [max(hull_area([*base.tolist(), grid.center(a, d)]) - area, 0.0) for a in range(grid.n_angle) for d in range(grid.n_dist)]
-                for (ai, di), c in cells.items():
-                    child = tuple(sorted([*here.ids, c]))
-                    if (r.graph_id, child) not in known:
-                        known[r.graph_id, child] = here.grown(c, quant)
-                    key, n_edges = known[r.graph_id, child]
-                    rows.append((r.graph_id, r.grp, r.pos, ai, di, list(child), key_struct(key), n_edges, None))
-                if added is not None:
-                    rows.append((r.graph_id, r.grp, r.pos, None, None, None, None, None, added))
-            out = pd.DataFrame(rows, columns=["graph_id", "grp", "pos", "ai", "di", "child", "key", "n_edges", "added"])
-            yield out.astype({"ai": "Int32", "di": "Int32", "n_edges": "Int32"})
+    centers = np.array([grid.center(a, d) for a in range(grid.n_angle) for d in range(grid.n_dist)])
+
+    def run(batches):
+        for batch in _by_size(batches):
+            here = Contexts(batch["context"])
+            forms = here.forms(quant)
+            places = moved(forms.matrix[here.owner], forms.shift[here.owner], here.places[:, None])[:, 0]
+            within, ai, di = grid.cells(places)
+            cell = (here.owner * grid.n_angle + ai) * grid.n_dist + di
+            chosen = np.flatnonzero(within)
+            chosen = chosen[np.unique(cell[chosen], return_index=True)[1]]  # ascending ids: the lowest of a cell stays
+            if len(chosen):
+                ids, grown = here.grown(chosen, quant)
+                parent = batch.select(["graph_id", "grp", "pos"]).take(pa.array(here.owner[chosen]))
+                children = _lists(pa.array(ids.reshape(-1)), np.arange(1, len(ids) + 1) * ids.shape[1])
+                numbers = [pa.array(a, pa.int32()) for a in (ai[chosen], di[chosen], grown.links.sum(axis=1))]
+                added = pa.nulls(len(ids), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*parent.columns, *numbers[:2], children, key_array(grown), numbers[2], added], _CHILD)
+            # The groups' patterns: what each cell would add to their hulls.
+            first = np.flatnonzero(batch["pos"].to_numpy() == batch["grp"].to_numpy())
+            if len(first):
+                bases = moved(forms.matrix[first], forms.shift[first], here.points[first])
+                areas = np.array([added_areas(b, centers) for b in bases])
+                rows, none = batch.select(["graph_id", "grp", "pos"]).take(pa.array(first)), key_array(forms).type
+                empty = [pa.nulls(len(first), t) for t in (pa.int32(), pa.int32(), pa.list_(pa.int64()), none, pa.int32())]
+                added = _lists(pa.array(areas.reshape(-1)), np.arange(1, len(first) + 1) * areas.shape[1])
+                yield pa.RecordBatch.from_arrays([*rows.columns, *empty, added], _CHILD)
 
     return run
 
@@ -145,7 +206,7 @@ def frequency_cut(groups: DataFrame, cut: float) -> DataFrame:
 def expand(graphs: Graphs, level: DataFrame, settings: Settings) -> DataFrame:
     """The next level: children of all frequent cells, each vertex set once, groups of at least min_frequency."""
     context = in_context(level, graphs, "grp").select("graph_id", "grp", "pos", "context")
-    grown = stash(context.mapInPandas(_grow(settings), _GROWN), "mining-grown")
+    grown = stash(context.mapInArrow(_grow(settings), _GROWN), "mining-grown")
     members = grown.where("child IS NOT NULL")
     cells = members.groupBy("graph_id", "grp", "ai", "di").agg(F.count("*").alias("n")).where(F.col("n") >= settings.min_frequency)
     added = grown.where("added IS NOT NULL").select("graph_id", "grp", "added")
@@ -182,15 +243,15 @@ def pattern_seed(graphs: Graphs, occurrences: DataFrame, settings: Settings) ->
     """Start rows from a user's occurrences (graph_id, pos, occ) of one shape, in the order of pos."""
     context = in_context(occurrences, graphs)
 
-    def run(frames):
-        for df in frames:
-            rows = []
-            for r in df.itertuples(index=False):
-                here = Local(r.context)
-                rows.append((r.graph_id, len(here.ids), key_struct(here.form(settings.quant).key), here.ids, len(here.edges), r.pos))
-            yield pd.DataFrame(rows, columns=["graph_id", "ord", "key", "occ", "n_edges", "at"])
+    def run(batches):
+        for batch in _by_size(batches):
+            here = Contexts(batch["context"])
+            forms, (count, n) = here.forms(settings.quant), here.ids.shape
+            occ = _lists(pa.array(here.ids.reshape(-1)), np.arange(1, count + 1) * n)
+            numbers = [pa.array(a, pa.int32()) for a in (np.full(count, n), forms.links.sum(axis=1))]
+            yield pa.RecordBatch.from_arrays([batch["graph_id"], numbers[0], key_array(forms), occ, numbers[1], batch["pos"]], ["graph_id", "ord", "key", "occ", "n_edges", "at"])
 
-    keyed = context.mapInPandas(run, f"graph_id string, ord int, key {KEY}, occ array<long>, n_edges int, at long")
+    keyed = context.mapInArrow(run, f"graph_id string, ord int, key {KEY}, occ array<long>, n_edges int, at long")
     return _ranked(keyed, ["at"]).drop("at")
 
 

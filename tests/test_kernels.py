@@ -127,3 +127,32 @@ def test_degree2_sweeps_like_one_vertex_after_another():
                     plain[other] = plain[other] - {v} | {one}
                     changed = True
         assert K.dissolve_degree2(near) == {(v, w) for v, x in plain.items() for w in x if v < w}, seed
+
+
+@pytest.mark.parametrize("n", [2, 3, 5, 7])
+def test_batches_have_the_forms_of_single_patterns(n):
+    rng = np.random.default_rng(n)
+    points = rng.integers(0, 3, (200, n, 2)) + rng.choice([0.0, 0.3], (200, n, 2))
+    points[:, -1] += 7  # edge 0-(n-1) has a length
+    linked = np.triu(rng.random((200, n, n)) < 0.5, 1)
+    linked[:, 0, -1] = True
+    linked |= linked.transpose(0, 2, 1)
+    forms, one, other = K.canonical_batch(points, linked, 0.07), *np.triu_indices(n, 1)
+    for b in range(200):
+        single = K.canonical(range(n), points[b], list(zip(*map(np.ndarray.tolist, np.nonzero(np.triu(linked[b]))), strict=True)), 0.07)
+        links = tuple((int(one[k]), int(other[k])) for k in np.flatnonzero(forms.links[b]))
+        assert (tuple(map(tuple, forms.cells[b].tolist())), links) == single.key
+
+
+def test_added_areas_are_differences_of_hulls():
+    rng, grid = np.random.default_rng(0), K.Grid()
+    others = np.array([grid.center(a, d) for a in range(grid.n_angle) for d in range(grid.n_dist)])
+    for points in (rng.normal(size=(6, 2)), np.array([[0.0, 0.0], [1.0, 0.0]]), np.array([[0.0, 0.0], [0.5, 0.0], [1.0, 0.0]])):
+        apart = [K.hull_area(np.array([*points, p])) - K.hull_area(points) for p in others]
+        assert np.allclose(K.added_areas(points, others), apart, atol=1e-9)
+
+
+def test_cells_of_many_points():
+    points, grid = np.random.default_rng(2).normal(size=(500, 2)) * 2, K.Grid()
+    within, ai, di = grid.cells(points)
+    assert [(int(a), int(d)) if w else None for w, a, d in zip(within, ai, di, strict=True)] == [grid.cell(x, y) for x, y in points]

@@ -109,7 +109,7 @@ def reaches(one: np.ndarray, other: np.ndarray, n_one: np.ndarray, n_other: np.n
 
 def _sketch(parts):
     names = ["doc_id", "row_key", "n_shingles", "set_digest", "registers"]
-    for b in batches.pieces_of(parts, 2 << 20):
+    for b in batches.pieces_of(parts, 512 << 10):
         sets = shingle_sets([t.encode() for t in b.column("text").to_pylist()], SHINGLE)
         digest = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets]
         regs = [registers(s).tobytes() for s in sets]
@@ -118,7 +118,7 @@ def _sketch(parts):
 
 def _sets(parts):
     """The full set of each text, as sorted 64-bit hashes."""
-    for b in batches.pieces_of(parts, 2 << 20):
+    for b in batches.pieces_of(parts, 512 << 10):
         sets = shingle_sets([t.encode() for t in b.column("text").to_pylist()], SHINGLE)
         yield pa.record_batch([b.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
 

@@ -464,26 +464,26 @@ def learn_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.learn(inputs.embedding_paths(spark, sf_dir), _shapes()).rules.select("graph_id", "rule_id", "level", "frequency", F.size("rhs_vertices").alias("ord"))
 
 
+def _learned(spark: SparkSession, sf_dir: str) -> tuple[Graphs, rules.Grammar]:
+    """The whole paths of all labels, and the rules of all levels that each of them gives."""
+    graphs = inputs.embedding_paths(spark, sf_dir)
+    return graphs, rules.learn(graphs, _shapes())
+
+
 @query()
 def grammar_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graphs = generators.lattice(spark, 4, 4)
-    return reports.grammar_stats(graphs, rules.learn(graphs, Settings(max_order=4), max_levels=2))
+    return reports.grammar_stats(*_learned(spark, sf_dir))
 
 
 @query()
 def parse_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graphs = forward.generate(forward.sierpinski(spark), 2)
-    return parse(graphs, rules.learn(graphs, Settings(max_order=3), max_levels=1, prefer="dense", min_order=3)).steps
+    return parse(*_learned(spark, sf_dir), quant=LOOSE).steps
 
 
-@query("SELECT 0 AS missing, 0 AS extra")
+@query(f"WITH {_EMBED} SELECT g AS graph_id, u, w FROM e")
 def reconstruct_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges that a graph and its rebuilt copy don't share."""
-    graphs = forward.generate(forward.sierpinski(spark), 2)
-    again = reconstruct(parse(graphs, rules.learn(graphs, Settings(max_order=3), max_levels=1, prefer="dense", min_order=3)))
-    old, new = graphs.edges.select("u", "w").withColumn("one", F.lit(1)), again.edges.select("u", "w").withColumn("two", F.lit(1))
-    both = old.join(new, ["u", "w"], "full")
-    return both.agg(F.count(F.when(F.col("two").isNull(), 1)).cast("int").alias("missing"), F.count(F.when(F.col("one").isNull(), 1)).cast("int").alias("extra"))
+    """The edges again, from the paths that the learned rules reduced and the log of the reductions."""
+    return reconstruct(parse(*_learned(spark, sf_dir), quant=LOOSE)).edges.select("graph_id", "u", "w")
 
 
 @query(f"WITH {_path()} SELECT g AS graph_id, u, w, CASE WHEN u // 4 % 5 = w // 4 % 5 THEN u // 4 % 5 ELSE -1 END AS colour FROM e")

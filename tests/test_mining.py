@@ -115,3 +115,24 @@ def test_larger_grid_has_a_greedy_cover(spark):
     used = [v for r in rows for v in r["occ"]]
     assert found.count() == 60 and len(used) == len(set(used))
     assert all(set(r["occ"]) & set(used) for r in found.collect())
+
+
+def _round_trip(graphs, **how):
+    """Steps (occurrences, vertices before and after) and the summary of a parse whose input comes back exactly."""
+    parsed = parse(graphs, learn(graphs, **how))
+    again = reconstruct(parsed)
+    for one, other in ((again.vertices, graphs.vertices), (again.edges, graphs.edges)):
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.select(one.columns).collect()))
+    steps = parsed.steps.orderBy("step").select("n_occurrences", "vertices_before", "vertices_after").collect()
+    return [tuple(r) for r in steps], parsed.summary().first()
+
+
+def test_lattice_is_one_square_of_squares(spark):
+    steps, summary = _round_trip(lattice(spark, 4, 4), settings=Settings(max_order=4))
+    assert steps == [(4, 16, 4), (1, 4, 1)]
+    assert summary["recognized"] and summary["reductions"] == 5
+
+
+def test_fractal_of_three_rounds_gives_all_its_triangles(spark):
+    steps, summary = _round_trip(generate(sierpinski(spark), 3), settings=Settings(max_order=3), prefer="dense", min_order=3)
+    assert steps == [(9, 42, 24)] and summary["input_edges"] == 81

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.kernels import dissolve_degree2
-from ..sources.scratch import stash
+from ..sources.scratch import shuffled, stash
 from .graphs import Graphs
 
 
@@ -39,10 +39,10 @@ def component_labels(graphs: Graphs) -> DataFrame:
     links = stash(graphs.adjacency(), "component-links")
     labels = stash(graphs.vertices.select("graph_id", "v", F.col("v").alias("component")), "component-labels")
     while True:
-        sent = links.join(labels, ["graph_id", "v"]).groupBy("graph_id", "nb").agg(F.min("component").alias("least")).withColumnRenamed("nb", "v")
-        near = labels.join(sent, ["graph_id", "v"], "left").select("graph_id", "v", F.col("component").alias("old"), F.least("component", "least").alias("component"))
+        sent = links.join(shuffled(labels), ["graph_id", "v"]).groupBy("graph_id", "nb").agg(F.min("component").alias("least")).withColumnRenamed("nb", "v")
+        near = labels.join(shuffled(sent), ["graph_id", "v"], "left").select("graph_id", "v", F.col("component").alias("old"), F.least("component", "least").alias("component"))
         root = near.select("graph_id", F.col("v").alias("component"), F.col("component").alias("further"))
-        jumped = near.join(root, ["graph_id", "component"], "left").select("graph_id", "v", "old", F.coalesce("further", "component").alias("component"))
+        jumped = near.join(shuffled(root), ["graph_id", "component"], "left").select("graph_id", "v", "old", F.coalesce("further", "component").alias("component"))
         jumped = stash(jumped, "component-labels")
         if jumped.where("old <> component").isEmpty():
             return jumped.select("graph_id", "v", "component")
@@ -54,15 +54,15 @@ def largest_component(graphs: Graphs) -> Graphs:
     labels = component_labels(graphs)
     sizes = labels.groupBy("graph_id", "component").agg(F.count("*").alias("n"))
     best = sizes.groupBy("graph_id").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("component"))
-    chosen = labels.join(best, ["graph_id", "component"], "left_semi").select("graph_id", "v")
-    edges = graphs.edges.join(chosen.withColumnRenamed("v", "u"), ["graph_id", "u"], "left_semi")
-    return Graphs(graphs.vertices.join(chosen, ["graph_id", "v"], "left_semi"), edges.select("graph_id", "u", "w"))
+    chosen = labels.join(shuffled(best), ["graph_id", "component"], "left_semi").select("graph_id", "v")
+    edges = graphs.edges.join(shuffled(chosen.withColumnRenamed("v", "u")), ["graph_id", "u"], "left_semi")
+    return Graphs(graphs.vertices.join(shuffled(chosen), ["graph_id", "v"], "left_semi"), edges.select("graph_id", "u", "w"))
 
 
 def simplify_degree2(graphs: Graphs) -> Graphs:
     """Dissolve all vertices with exactly two neighbours. The result depends on the order, so each component is one task's."""
     labels = component_labels(graphs)
-    linked = graphs.edges.join(labels.withColumnRenamed("v", "u"), ["graph_id", "u"]).select("graph_id", "component", "u", "w")
+    linked = graphs.edges.join(shuffled(labels.withColumnRenamed("v", "u")), ["graph_id", "u"]).select("graph_id", "component", "u", "w")
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         near: dict = {}
@@ -73,6 +73,6 @@ def simplify_degree2(graphs: Graphs) -> Graphs:
         return pd.DataFrame({"graph_id": df["graph_id"].iloc[0], "u": [e[0] for e in edges], "w": [e[1] for e in edges]})
 
     edges = stash(linked.groupBy("graph_id", "component").applyInPandas(run, "graph_id string, u long, w long"), "simplified")
-    alone = graphs.vertices.join(graphs.adjacency(), ["graph_id", "v"], "left_anti").select("graph_id", "v")
+    alone = graphs.vertices.join(shuffled(graphs.adjacency()), ["graph_id", "v"], "left_anti").select("graph_id", "v")
     kept = edges.select("graph_id", F.explode(F.array("u", "w")).alias("v")).unionByName(alone).distinct()
-    return Graphs(graphs.vertices.join(kept, ["graph_id", "v"], "left_semi"), edges)
+    return Graphs(graphs.vertices.join(shuffled(kept), ["graph_id", "v"], "left_semi"), edges)

@@ -21,3 +21,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join that never sends it to the driver: a table of millions of ids has files that look small enough for a broadcast."""
+    return df.hint("merge")

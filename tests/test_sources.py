@@ -100,3 +100,17 @@ def test_stream_gives_the_stored_points(spark, tmp_path):
     got = sorted(map(tuple, spark.sql("SELECT * FROM points").collect()))
     want = signals.phase_space(spark.createDataFrame(rows, schema), 3, normalize=False).select("series_id", "i", "px", "py")
     assert got == sorted(map(tuple, want.collect()))
+
+
+def test_components_without_broadcasts(spark):
+    """Tables of ids have small files and many rows: none of them may go through the driver."""
+    path = [("g", i, float(i), 0.0) for i in range(400)]
+    graphs = Graphs(spark.createDataFrame(path, "graph_id string, v long, x double, y double"), spark.createDataFrame([("g", i, i + 1) for i in range(399)], "graph_id string, u long, w long"))
+    limit = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(limit, "1k")
+    try:
+        plain = networks.simplify_degree2(graphs)
+        assert [tuple(r) for r in plain.edges.collect()] == [("g", 0, 399)] and plain.vertices.count() == 2
+        assert networks.largest_component(graphs).edges.count() == 399
+    finally:
+        spark.conf.unset(limit)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.kernels import Forms, Grid, added_areas, canonical, canonical_batch, moved
+from ..functions.kernels import EPS, Forms, Grid, added_areas, canonical, canonical_batch, framed, moved
 from ..sources.scratch import stash
 from .graphs import Graphs
 
@@ -94,6 +94,11 @@ class Contexts:
         self.ties[np.cumsum(fresh) - 1, vertex] = True
         self.owner, self.extra, self.places = owner[fresh], ids[fresh], places[fresh]
 
+    def shaped(self) -> np.ndarray:
+        """Whether each has an edge of positive length, and so a form."""
+        apart = self.points[:, :, None] - self.points[:, None]
+        return (self.linked & (np.hypot(apart[..., 0], apart[..., 1]) >= EPS)).any(axis=(1, 2))
+
     def forms(self, quant: float) -> Forms:
         return canonical_batch(self.points, self.linked, quant)
 
@@ -143,7 +148,7 @@ def _grow(settings: Settings):
         for batch in _by_size(batches):
             here = Contexts(batch["context"])
             forms = here.forms(quant)
-            places = moved(forms.matrix[here.owner], forms.shift[here.owner], here.places[:, None])[:, 0]
+            places = framed(forms.start[here.owner], forms.along[here.owner], here.places[:, None])[:, 0]
             within, ai, di = grid.cells(places)
             cell = (here.owner * grid.n_angle + ai) * grid.n_dist + di
             chosen = np.flatnonzero(within)
@@ -169,13 +174,15 @@ def _grow(settings: Settings):
 
 
 def seed(graphs: Graphs, settings: Settings) -> DataFrame:
-    """Every edge, as occurrences of order 2 with the key of a unit segment."""
+    """Every edge between two places, as occurrences of order 2 with the key of a unit segment. One at a single place has no shape."""
     unit = round(1.0 / settings.quant)
     key = F.struct(
         F.array(F.struct(F.lit(0).alias("qx"), F.lit(0).alias("qy")), F.struct(F.lit(unit).alias("qx"), F.lit(0).alias("qy"))).alias("q"),
         F.array(F.struct(F.lit(0).alias("i"), F.lit(1).alias("j"))).alias("e"),
     ).cast(KEY)
-    rows = graphs.edges.select("graph_id", F.lit(2).alias("ord"), key.alias("key"), F.array("u", "w").alias("occ"), F.lit(1).alias("n_edges"))
+    place = lambda c: graphs.vertices.select("graph_id", F.col("v").alias(c), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y"))
+    apart = graphs.edges.join(place("u"), ["graph_id", "u"]).join(place("w"), ["graph_id", "w"]).where(F.hypot(F.col("ux") - F.col("wx"), F.col("uy") - F.col("wy")) >= EPS)
+    rows = apart.select("graph_id", F.lit(2).alias("ord"), key.alias("key"), F.array("u", "w").alias("occ"), F.lit(1).alias("n_edges"))
     return _ranked(rows, ["occ"])
 
 
@@ -240,11 +247,14 @@ def detect(graphs: Graphs, settings: Settings | None = None, start: DataFrame |
 
 
 def pattern_seed(graphs: Graphs, occurrences: DataFrame, settings: Settings) -> DataFrame:
-    """Start rows from a user's occurrences (graph_id, pos, occ) of one shape, in the order of pos."""
+    """Start rows from a user's occurrences (graph_id, pos, occ) of one shape, in the order of pos; none for those without an edge of positive length."""
     context = in_context(occurrences, graphs)
 
     def run(batches):
         for batch in _by_size(batches):
+            batch = batch.filter(pa.array(Contexts(batch["context"]).shaped()))
+            if not batch.num_rows:
+                continue
             here = Contexts(batch["context"])
             forms, (count, n) = here.forms(settings.quant), here.ids.shape
             occ = _lists(pa.array(here.ids.reshape(-1)), np.arange(1, count + 1) * n)

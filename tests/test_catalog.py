@@ -60,3 +60,17 @@ def test_mining_grows_beyond_order_three(spark):
     groups = catalog.QUERIES["detect_groups"](spark, SF).agg({"ord": "max"}).first()[0]
     histogram = catalog.QUERIES["order_histogram"](spark, SF).agg({"ord": "max"}).first()[0]
     assert groups == 5 and histogram == 4
+
+
+@pytest.mark.parametrize("repeats", [True, False])
+def test_shapes_on_borders_of_cells(spark, db, tmp_path, repeats):
+    """Values in steps of 20 put many points on borders, and repeated ones make edges at a single place."""
+    step = "CREATE OR REPLACE VIEW e AS SELECT * REPLACE (floor(value / 20) * 20 + 0.1 * user_id + 0.37 AS value) FROM '/root/testdata/sf0.01/events.parquet'"
+    last = "lag(value, 1, -1e9) OVER (PARTITION BY user_id ORDER BY ts, event_id)"
+    con = db.cursor()
+    con.execute(step)
+    con.execute(f"COPY (SELECT * FROM e {'' if repeats else f'QUALIFY value <> {last}'}) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE SCHEMA odd_{repeats}; CREATE VIEW odd_{repeats}.events AS SELECT * FROM '{tmp_path}/events.parquet'; USE odd_{repeats}")
+    want = sorted(con.sql(catalog.ORACLES["isogroup_frequency_order3"]).fetchall())
+    got = sorted(map(tuple, catalog.QUERIES["isogroup_frequency_order3"](spark, str(tmp_path)).collect()))
+    assert got == want and len(want) > 50

@@ -55,6 +55,8 @@ MOST_BITS = 1 << 30
 PROBES = 4
 #: Hits that are expanded at once.
 AT_ONCE = 1 << 20
+#: Bytes of documents that a task looks at together: words and their hashes take over thirty times as much.
+PIECE = 512 << 10
 
 #: Letters of scripts that are written without spaces: each is a word of its own.
 _UNSPACED = re.compile("([฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿])")
@@ -184,7 +186,7 @@ def _matches(index: Index, texts: list[str]) -> dict:
 
 def _find(index: Index):
     def run(parts):
-        for b in batches.pieces_of(parts):
+        for b in batches.pieces_of(parts, PIECE):
             refs, best = b.column("ref"), _matches(index, b.column("text").to_pylist())
             rows = [(index.ids[i], -s, n, of) for (r, i), (_, n, s, of) in sorted(best.items())]
             columns = list(zip(*rows, strict=True)) or [()] * 4
@@ -196,7 +198,7 @@ def _find(index: Index):
 
 def _keep(index: Index):
     def run(parts):
-        for b in batches.pieces_of(parts):
+        for b in batches.pieces_of(parts, PIECE):
             keep = np.ones(b.num_rows, bool)
             keep[[r for r, _ in _matches(index, [t or "" for t in b.column("text").to_pylist()])]] = False
             yield b.filter(pa.array(keep))

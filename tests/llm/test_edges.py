@@ -1,5 +1,8 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 
 from shapeloom.llm import decontaminate, exact_dedup, languages, licenses, near_dup, packing, substring_dedup, token_counts, token_files, tokens, toxicity, workspace
@@ -131,3 +134,16 @@ def test_toxic_terms_behind_digits_marks_and_short_misspellings(spark):
     docs = spark.createDataFrame([(i, text(i, [w])) for i, w in enumerate([*bad, "slum", "2*3**4", "i**t"])], "doc_id long, text string")
     got = [r["score"] for r in sorted(toxicity.score(docs, model).collect())]
     assert min(got[: len(bad)]) > 0.5 > max(got[len(bad) :]), got
+
+
+def test_decontamination_in_bounded_memory():
+    """A batch of many megabytes takes a task little more than a small one."""
+    index = decontaminate.Index([(1, " ".join(f"item{k}" for k in range(30)))])
+    batch = pa.record_batch([pa.array([" ".join(f"w{(i * 7919 + k) % 50021}" for k in range(600)) for i in range(2000)])], names=["text"])
+    tracemalloc.start()
+    try:
+        kept = sum(b.num_rows for b in decontaminate._keep(index)([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert kept == 2000 and batch.nbytes > 6 << 20 and peak < 64 << 20
